@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from .quality_forest import op8_quality_rules
 
+from .gray_simhash import op4_simhash
+
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op8_quality_rules": op8_quality_rules,
 }
 
