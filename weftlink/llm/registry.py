@@ -6,7 +6,10 @@ from .quality_forest import op8_quality_rules
 
 from .gray_simhash import op4_simhash
 
+from .packing import op9_packing
+
 QUERIES = {
+    "op9_packing": op9_packing,
     "op4_simhash": op4_simhash,
     "op8_quality_rules": op8_quality_rules,
 }
