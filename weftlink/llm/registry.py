@@ -8,7 +8,10 @@ from .gray_simhash import op4_simhash
 
 from .packing import op9_packing
 
+from .substring_dedup import op1_substring_dedup
+
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op9_packing": op9_packing,
     "op4_simhash": op4_simhash,
     "op8_quality_rules": op8_quality_rules,
