@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
-from weftlink.llm.substring_dedup import WINDOW, digest, strip_repeats
+from weftlink.llm.substring_dedup import WINDOW, digest, strip_repeats, window_anchors
+from weftlink.llm.textkernel import slices
 
 
 def brute(rows):
@@ -59,6 +61,17 @@ def test_driver_rows(spark):
     assert sorted(got, key=str) == brute([(r.doc_id, r.text) for r in df.collect()])
 
 
+def test_anchors_follow_content():
+    words = [f"w{k}" for k in range(400)]
+    found = []
+    for shift in (0, 7):
+        part = next(slices(pa.array([" ".join(["x"] * shift + words)])))
+        at, anchor = window_anchors(part)
+        found.append({int(a) - shift: h for a, h in zip(at, anchor) if a >= shift})
+    assert found[0] == found[1]
+    assert 10 < len(set(found[0].values())) < 100
+
+
 def test_strip_and_empty(spark):
     text = " ".join(f"t{k}" for k in range(70))
     df = spark.createDataFrame([(1, text, 5), (2, "start\n " + text + " end", 6), (3, text, 7), (4, " short  text ", 8)], "doc_id long, text string, n_chars long")

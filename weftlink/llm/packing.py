@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CAPACITY = 4096
 END = 1
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_500_000  # about 200 bytes each
+_TRAIL = b".,;:!?&$%*#"
 
 PIECE = np.dtype([("doc_id", "<i8"), ("known", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 _BIN = T.StructType([T.StructField("load", T.IntegerType()), T.StructField("pieces", T.BinaryType()), T.StructField("sequence_id", T.LongType())])
@@ -57,16 +59,38 @@ class WordTokenizer:
             _tokenizers[path] = WordTokenizer(path)
         return _tokenizers[path]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t.lower() if t.isascii() else t).split() for t in texts]
-        if len(self.known) > self.limit:
-            self.known.clear()
-        missing = list(set().union(*split).difference(self.known))
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
+    @staticmethod
+    def _lower(text: bytes) -> bytes:
+        """Lower case where that commutes with the tokenizer's normal form: no combining mark can follow."""
+        return text if b"\xcc" in text or b"\xcd" in text else text.lower()
+
+    @staticmethod
+    def _stem(word: bytes) -> bytes:
+        """The word without a closing run of marks, where the tokenizer splits them off a letter or digit."""
+        stem = word.rstrip(_TRAIL)
+        if stem == word or not stem:
+            return word
+        last = stem[-1:]
+        accented = stem[-2:-1] == b"\xc3" and 0xA0 <= stem[-1] and stem[-1] != 0xB7
+        return stem if last.isalnum() or accented else word
+
+    def _learn(self, words: list[bytes]) -> None:
+        for k in range(0, len(words), 20_000):
+            part = words[k : k + 20_000]
             found = self.inner.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in found)))
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in found)))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [self._lower(t).split() for t in texts]
+        known = self.known
+        if len(known) > self.limit:
+            known.clear()
+        missing = list(set().union(*split).difference(known))
+        stems = list(map(self._stem, missing))
+        rest = [w[len(s) :] for w, s in zip(missing, stems)]
+        self._learn(list(set(stems).union(rest).difference(known, (b"",))))
+        known.update((w, known[s] + known[r]) for w, s, r in zip(missing, stems, rest) if r)
+        return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def cut_document(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:

@@ -47,7 +47,11 @@ def window_anchors(part: Slice) -> tuple[np.ndarray, np.ndarray]:
     n = len(part.starts)
     if n < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    powers = [np.cumprod(np.concatenate(([1], np.full(n, b, np.uint64))), dtype=np.uint64) for b in (_BASE, _BASE_INVERSE)]
+    powers = []
+    for base in (_BASE, _BASE_INVERSE):
+        steps = np.full(n + 1, base, np.uint64)
+        steps[0] = 1
+        powers.append(np.cumprod(steps, dtype=np.uint64))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(part.word_hashes() * powers[0][:n], dtype=np.uint64, out=total[1:])
     least = mix((total[GRAM:] - total[:-GRAM]) * powers[1][: n - GRAM + 1])
