@@ -10,7 +10,10 @@ from .packing import op9_packing
 
 from .substring_dedup import op1_substring_dedup
 
+from .toxicity import op2_toxicity
+
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op1_substring_dedup": op1_substring_dedup,
     "op9_packing": op9_packing,
     "op4_simhash": op4_simhash,

@@ -1,8 +1,9 @@
 """Toxicity (operator 2): subword-bag embeddings averaged into a linear softmax.
 
 A word is the bag of its byte n-grams, end marks included, and of itself, each hashed to a row of an
-embedding table. Word vectors are the mean of their rows, a passage (`PASSAGE` consecutive words) the mean
-of its words, and a two-class softmax on top is trained jointly with the table. A document is as toxic as its worst
+embedding table. Word vectors are the mean of their rows, a passage (`PASSAGE` consecutive words, short ones
+filled up with zeros, repeats counted once) the mean of its words, and a two-class softmax on top is
+trained jointly with the table. A document is as toxic as its worst
 passage: training weighs a document's passages by a softmax of their own logits, so that the label of a
 long document lands where it belongs. Misspelt and inflected forms share n-gram rows with known ones.
 
@@ -25,9 +26,9 @@ from pyspark.sql import types as T
 
 from ..session import table
 from .frames import append, labelled_sample, project
-from .textkernel import INK, Slice, slices
+from .textkernel import INK, Slice, mix, slices
 
-PASSAGE = 24
+PASSAGE = 8
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -92,37 +93,49 @@ class ToxicityModel:
     weights: np.ndarray  # for each table row, the difference of the two classes' logits
     bias: float
 
-    def word_logits(self, part: Slice) -> np.ndarray:
+    def word_logits(self, part: Slice) -> tuple[np.ndarray, np.ndarray]:
+        """Logit difference and content hash of each word."""
         if not len(part.starts):
-            return np.zeros(0)
+            return np.zeros(0), np.zeros(0, np.uint64)
         text, starts, ends = _padded(part)
         total = np.zeros(len(text) + 1)
         for at, rows, _ in _gram_rows(text, starts, ends):
             total[at] += self.weights[rows]
         total = np.concatenate(([0.0], np.cumsum(total)))
-        whole = self.weights[_bucket(part_hashes(part, text, starts, ends), 0)]
-        return (total[ends] - total[starts - 1] + whole) / _gram_counts(ends - starts)
+        hashes = part_hashes(part, text, starts, ends)
+        return (total[ends] - total[starts - 1] + self.weights[_bucket(hashes, 0)]) / _gram_counts(ends - starts), hashes
 
     def score(self, part: Slice) -> np.ndarray:
         """For each row the probability of label 1 in its worst passage."""
-        words = np.concatenate(([0.0], np.cumsum(self.word_logits(part))))
+        words, hashes = self.word_logits(part)
         first, row = _passages(part)
-        last = np.minimum(first + PASSAGE, part.word_rows[row + 1])
-        logit = (words[last] - words[first]) / np.maximum(last - first, 1) + self.bias
+        of = _passage_of_words(part, first)
+        once = _first_of_each(of, hashes)
+        logit = np.bincount(of[once], words[once], len(first)) / PASSAGE + self.bias
         worst = np.full(part.n, -np.inf)
         np.maximum.at(worst, row, logit)
         return 1 / (1 + np.exp(-np.clip(worst, -30, 30)))
 
 
+def _passage_of_words(part: Slice, first: np.ndarray) -> np.ndarray:
+    return np.searchsorted(first, np.arange(len(part.starts)), "right") - 1
+
+
+def _first_of_each(passage: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Positions of words that do not repeat an earlier one of their passage."""
+    key = mix(hashes + passage.astype(np.uint64) * _MIX)
+    return np.sort(np.unique(key, return_index=True)[1])
+
+
 def part_hashes(part: Slice, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Content hash of the lower-cased words."""
     return Slice(0, 1, text, np.array([0, len(text)]), starts, ends, np.array([0, len(starts)])).word_hashes()
 
 
 def _bags(texts: list[str]):
-    """Distinct words as n-gram bags, tokens as word numbers, passages and documents over them."""
-    tokens, firsts, owners, words, bags = [], [], [], {}, []
-    base, doc = 0, 0
+    """Distinct words as n-gram bags; then each passage's words, their passages, and the passages' documents."""
+    tokens, places, owners, words, bags = [], [], [], {}, []
+    passages, doc = 0, 0
     for part in slices(pa.array(texts, pa.string())):
         if len(part.starts):
             text, starts, ends = _padded(part)
@@ -138,42 +151,44 @@ def _bags(texts: list[str]):
                     words[h] = len(bags)
                     bags.append(rows[bounds[w] : bounds[w + 1]])
                 number[k] = words[h]
-            tokens.append(number[back])
-        first, row = _passages(part)
-        firsts.append(first + base)
+            of = _passage_of_words(part, _passages(part)[0])
+            once = _first_of_each(of, whole)
+            tokens.append(number[back][once])
+            places.append(of[once] + passages)
+        row = _passages(part)[1]
         owners.append(row + doc)
-        base += len(part.starts)
+        passages += len(row)
         doc += part.n
-    return bags, np.concatenate(tokens) if tokens else np.zeros(0, np.int64), np.concatenate(firsts), np.concatenate(owners)
+    join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return bags, join(tokens), join(places), join(owners)
 
 
-def train(texts: list[str], toxic: np.ndarray, *, dim: int = 6, steps: int = 60, rate: float = 0.1, decay: float = 1e-6, seed: int = 0) -> ToxicityModel:
-    """Full-batch Adam on the class-balanced log loss of documents."""
+def train(texts: list[str], toxic: np.ndarray, *, dim: int = 4, steps: int = 60, rate: float = 0.1, decay: float = 0.015, spread: float = 0.05, seed: int = 0) -> ToxicityModel:
+    """Full-batch Adam on the class-balanced log loss of documents; `decay` is shared out over the rows of label 1."""
     if not len(texts) or toxic.all() or not toxic.any():
         share = float(toxic.mean()) if len(texts) else 0.0
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    bags, tokens, first, owner = _bags(texts)
+    bags, tokens, place, owner = _bags(texts)
     size = np.array([len(b) for b in bags])
     flat = np.concatenate(bags)
     used, flat = np.unique(flat, return_inverse=True)
     bag_at = np.cumsum(size) - size
     bag_of = np.repeat(np.arange(len(bags)), size)
-    count = np.maximum(np.diff(np.append(first, len(tokens))), 1)
-    token_of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(tokens))))
-    some = np.unique(token_of)  # passages with words
-    starts = np.searchsorted(token_of, some)
+    passages = len(owner)
+    some = np.unique(place)  # passages with words
+    starts = np.searchsorted(place, some)
     docs = len(texts)
     cost = np.where(toxic, 0.5 / toxic.sum(), 0.5 / (~toxic).sum())
 
     rng = np.random.default_rng(seed)
-    p = {"table": rng.normal(0, 0.3, (dim, len(used))).astype(np.float32), "head": rng.normal(0, 0.3, (2, dim)).astype(np.float32), "bias": np.zeros(2, np.float32)}
+    p = {"table": rng.normal(0, spread, (dim, len(used))).astype(np.float32), "head": rng.normal(0, 0.3, (2, dim)).astype(np.float32), "bias": np.zeros(2, np.float32)}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         word = np.stack([np.add.reduceat(row[flat], bag_at) / size for row in p["table"]])
-        passage = np.zeros((dim, len(first)), np.float32)
+        passage = np.zeros((dim, passages), np.float32)
         for d in range(dim):
             passage[d, some] = np.add.reduceat(word[d][tokens], starts)
-        passage /= count
+        passage /= PASSAGE
         logits = p["head"] @ passage + p["bias"][:, None]
         gap = logits[1] - logits[0]
         top = np.full(docs, -np.inf)
@@ -185,12 +200,12 @@ def train(texts: list[str], toxic: np.ndarray, *, dim: int = 6, steps: int = 60,
         pull = (cost * (prob - toxic))[owner] * share  # of the loss by a passage's logit gap
         grad_logits = np.stack([-pull, pull]).astype(np.float32)
         g = {"head": grad_logits @ passage.T, "bias": grad_logits.sum(axis=1)}
-        by_passage = (p["head"].T @ grad_logits) / count
+        by_passage = (p["head"].T @ grad_logits) / PASSAGE
         rows = []
         for d in range(dim):
-            by_word = np.bincount(tokens, by_passage[d][token_of], len(bags)) / size
+            by_word = np.bincount(tokens, by_passage[d][place], len(bags)) / size
             rows.append(np.bincount(flat, by_word[bag_of], len(used)))
-        g["table"] = np.stack(rows).astype(np.float32) + decay * p["table"]
+        g["table"] = np.stack(rows).astype(np.float32) + decay / toxic.sum() * p["table"]
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
