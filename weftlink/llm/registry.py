@@ -12,7 +12,10 @@ from .substring_dedup import op1_substring_dedup
 
 from .toxicity import op2_toxicity
 
+from .warc_bundles import OP3_SQL, op3_warc
+
 QUERIES = {
+    "op3_warc": op3_warc,
     "op2_toxicity": op2_toxicity,
     "op1_substring_dedup": op1_substring_dedup,
     "op9_packing": op9_packing,
@@ -20,4 +23,6 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": OP3_SQL,
+}
