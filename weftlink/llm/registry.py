@@ -12,9 +12,11 @@ from .substring_dedup import op1_substring_dedup
 
 from .toxicity import op2_toxicity
 
+from .url_filter import op6_url_filter
 from .warc_bundles import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op6_url_filter": op6_url_filter,
     "op3_warc": op3_warc,
     "op2_toxicity": op2_toxicity,
     "op1_substring_dedup": op1_substring_dedup,
