@@ -7,6 +7,7 @@ from .quality_forest import op8_quality_rules
 from .gray_simhash import op4_simhash
 
 from .html_wrapper import op10_html_extraction
+from .merge_dropout import op7_sentencepiece
 from .packing import op9_packing
 
 from .substring_dedup import op1_substring_dedup
@@ -17,6 +18,7 @@ from .url_filter import op6_url_filter
 from .warc_bundles import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op7_sentencepiece": op7_sentencepiece,
     "op10_html_extraction": op10_html_extraction,
     "op6_url_filter": op6_url_filter,
     "op3_warc": op3_warc,
