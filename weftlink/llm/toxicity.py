@@ -31,6 +31,7 @@ from .textkernel import INK, Slice, mix, slices
 PASSAGE = 8
 GRAMS = (3, 4, 5, 6)
 BUCKETS = 1 << 18
+BLOCK = 1 << 19  # n-grams handled at once in training
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -136,11 +137,11 @@ def _bags(texts: list[str]):
     """Distinct words as n-gram bags; then each passage's words, their passages, and the passages' documents."""
     tokens, places, owners, words, bags = [], [], [], {}, []
     passages, doc = 0, 0
-    for part in slices(pa.array(texts, pa.string())):
+    for part in slices(pa.array(texts, pa.string()), 1 << 17):
         if len(part.starts):
             text, starts, ends = _padded(part)
             whole = part_hashes(part, text, starts, ends)
-            grams = [(w, r) for _, r, w in _gram_rows(text, starts, ends)] + [(np.arange(len(starts)), _bucket(whole, 0))]
+            grams = [(w.astype(np.int32), r) for _, r, w in _gram_rows(text, starts, ends)] + [(np.arange(len(starts), dtype=np.int32), _bucket(whole, 0))]
             owner, rows = np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams])
             order = np.argsort(owner, kind="stable")
             rows, bounds = rows[order], np.searchsorted(owner[order], np.arange(len(starts) + 1))
@@ -149,12 +150,12 @@ def _bags(texts: list[str]):
             for k, (h, w) in enumerate(zip(distinct.tolist(), where.tolist())):
                 if h not in words:
                     words[h] = len(bags)
-                    bags.append(rows[bounds[w] : bounds[w + 1]])
+                    bags.append(rows[bounds[w] : bounds[w + 1]].copy())  # a view would keep the whole slice
                 number[k] = words[h]
             of = _passage_of_words(part, _passages(part)[0])
             once = _first_of_each(of, whole)
-            tokens.append(number[back][once])
-            places.append(of[once] + passages)
+            tokens.append(number[back][once].astype(np.int32))
+            places.append((of[once] + passages).astype(np.int32))
         row = _passages(part)[1]
         owners.append(row + doc)
         passages += len(row)
@@ -171,9 +172,15 @@ def train(texts: list[str], toxic: np.ndarray, *, dim: int = 4, steps: int = 60,
     bags, tokens, place, owner = _bags(texts)
     size = np.array([len(b) for b in bags])
     flat = np.concatenate(bags)
-    used, flat = np.unique(flat, return_inverse=True)
-    bag_at = np.cumsum(size) - size
-    bag_of = np.repeat(np.arange(len(bags)), size)
+    bags = len(size)
+    hit = np.zeros(BUCKETS, bool)
+    hit[flat] = True
+    used = np.flatnonzero(hit)
+    flat = (np.cumsum(hit, dtype=np.int32) - 1)[flat]
+    edges = np.searchsorted(np.cumsum(size), np.arange(0, len(flat) + BLOCK, BLOCK), "left")
+    edges = np.unique(np.append(edges[1:-1], [0, bags]))
+    at = np.concatenate(([0], np.cumsum(size)))
+    blocks = [(slice(a, b), flat[at[a] : at[b]], at[a:b] - at[a]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
     passages = len(owner)
     some = np.unique(place)  # passages with words
     starts = np.searchsorted(place, some)
@@ -184,7 +191,10 @@ def train(texts: list[str], toxic: np.ndarray, *, dim: int = 4, steps: int = 60,
     p = {"table": rng.normal(0, spread, (dim, len(used))).astype(np.float32), "head": rng.normal(0, 0.3, (2, dim)).astype(np.float32), "bias": np.zeros(2, np.float32)}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
-        word = np.stack([np.add.reduceat(row[flat], bag_at) / size for row in p["table"]])
+        word = np.empty((dim, bags), np.float32)
+        for own, grams, starts_of in blocks:
+            for d in range(dim):
+                word[d, own] = np.add.reduceat(p["table"][d][grams], starts_of) / size[own]
         passage = np.zeros((dim, passages), np.float32)
         for d in range(dim):
             passage[d, some] = np.add.reduceat(word[d][tokens], starts)
@@ -201,11 +211,11 @@ def train(texts: list[str], toxic: np.ndarray, *, dim: int = 4, steps: int = 60,
         grad_logits = np.stack([-pull, pull]).astype(np.float32)
         g = {"head": grad_logits @ passage.T, "bias": grad_logits.sum(axis=1)}
         by_passage = (p["head"].T @ grad_logits) / PASSAGE
-        rows = []
-        for d in range(dim):
-            by_word = np.bincount(tokens, by_passage[d][place], len(bags)) / size
-            rows.append(np.bincount(flat, by_word[bag_of], len(used)))
-        g["table"] = np.stack(rows).astype(np.float32) + decay / toxic.sum() * p["table"]
+        by_word = np.stack([np.bincount(tokens, by_passage[d][place], bags) / size for d in range(dim)]).astype(np.float32)
+        g["table"] = decay / toxic.sum() * p["table"]
+        for own, grams, _ in blocks:
+            for d in range(dim):
+                g["table"][d] += np.bincount(grams, np.repeat(by_word[d, own], size[own]), len(used)).astype(np.float32)
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
