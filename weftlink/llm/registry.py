@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .quality_forest import op8_quality_rules
 
+from .chroma import op5_chroma
 from .gray_simhash import op4_simhash
 
 from .html_wrapper import op10_html_extraction
@@ -18,6 +19,7 @@ from .url_filter import op6_url_filter
 from .warc_bundles import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op5_chroma": op5_chroma,
     "op7_sentencepiece": op7_sentencepiece,
     "op10_html_extraction": op10_html_extraction,
     "op6_url_filter": op6_url_filter,
