@@ -1,4 +1,563 @@
-"""Queries over the driver tables and their SQL."""
+"""Queries over the driver tables, each with the SQL that states the same result.
+
+The tables hold no businesses, so documents play the records: a third of them references (source 1), the
+others targets; name and address are the first characters of the text. Vectors are dealt to sources likewise,
+and two vectors match if they share a label and a block of thirty ids.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import FIELDS, char_grams, hash_vectors, lexical, sequence_ratio, serialize, tokens, with_views
+from ..operators import blocking, features, metrics, sampling, scoring, supervision, validate
+from ..operators.ivfpq import dense_channel
+from ..operators.retrieval import candidate_union, dense_topk, fill_dense, fill_sparse, gram_counts, query_counts, sparse_topk, tfidf_vocabulary, tfidf_weights
+from ..session import cut, table
+from ..sources.tsv import explode_truth, id_lists
+from . import explorer
+
+SEED, K = 42, 10
+LOWER, UPPER, ACCEPT = 0.55, 0.7, 0.45
+
+
+# ---- the bindings ------------------------------------------------------------------------------------------
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
+    source = (1 + F.col("doc_id") % 3).cast("int")
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("S"), source.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), source.alias("source"),
+        F.substring(text, 1, 40).alias("business_name"), F.substring(text, 41, 60).alias("business_address"), F.col("lang").alias("country"), "doc_id",
+    )
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = (1 + F.col("vec_id") % 3).cast("int")
+    return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("S"), source.cast("string"), F.lit("-"), F.col("vec_id").cast("string")).alias("id"), source.alias("source"), "vec_id", "embedding", "label")
+
+
+def vector_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    v = vectors(spark, sf_dir)
+    return v.where("source = 1").withColumnRenamed("id", "qid").drop("source"), v.where("source > 1").withColumnRenamed("id", "tid")
+
+
+def vector_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, t = vector_sides(spark, sf_dir)
+    block = F.floor(F.col("vec_id") / 30).alias("block")
+    return q.select("qid", "label", block).join(t.select("tid", "source", "label", block), ["label", "block"]).select("qid", "tid", "source")
+
+
+def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dense_topk(*vector_sides(spark, sf_dir), K)
+
+
+def vector_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.round((F.col("dense_score") + 1) / 2, 7)
+    scored = vector_pairs(spark, sf_dir).withColumn("x", x).withColumn("c", F.round(F.col("x") * F.col("x"), 6))
+    return supervision.labelled(scored, vector_truth(spark, sf_dir))
+
+
+def vector_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = vector_sides(spark, sf_dir)[0].select("qid")
+    return sampling.split_groups(ids, SEED, "qid")
+
+
+def vector_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accepted, routed = scoring.route(F.col("x"), F.col("c"), F.lit(LOWER), F.lit(UPPER), F.lit(ACCEPT))
+    return vector_scores(spark, sf_dir).select("qid", "tid", "source", "x", F.when(routed, F.col("c")).alias("c"), routed.alias("routed"), accepted.alias("accepted"))
+
+
+ENTITIES = """e AS (
+  SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS entity_id, CAST(1 + doc_id % 3 AS INTEGER) AS source, substr(t, 1, 40) AS business_name,
+         substr(t, 41, 60) AS business_address, lang AS country, doc_id
+  FROM (SELECT *, replace(coalesce(text, ''), chr(10), ' ') AS t FROM documents))"""
+
+
+def _normal(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^\p{{L}}\p{{M}}\p{{N}}]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+RAW = "concat_ws(' | ', CASE WHEN business_name <> '' THEN 'Name: ' || business_name END, CASE WHEN business_address <> '' THEN 'Address: ' || business_address END, CASE WHEN country <> '' THEN 'Country: ' || country END)"
+VIEWS = f"""{ENTITIES}, r0 AS (SELECT *, {RAW} AS raw FROM e), r1 AS (SELECT *, {_normal('raw')} AS normalized FROM r0),
+  r AS (SELECT *, {_normal('strip_accents(normalized)')} AS latin FROM r1)"""
+VECTORS = """v AS (SELECT 'S' || (1 + vec_id % 3) || '-' || vec_id AS id, CAST(1 + vec_id % 3 AS INTEGER) AS source, vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"""
+TRUTH = f"""{VECTORS}, g AS (SELECT q.id AS qid, t.id AS tid, t.source FROM v q JOIN v t ON q.source = 1 AND t.source > 1 AND q.label = t.label AND q.vec_id // 30 = t.vec_id // 30)"""
+DENSE = f"""{TRUTH}, a AS (SELECT q.id AS qid, t.id AS tid, t.source, round(list_inner_product(q.e, t.e), 6) AS dense_score FROM v q JOIN v t ON q.source = 1 AND t.source > 1),
+  d AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY dense_score DESC, tid) AS INTEGER) AS dense_rank FROM a) WHERE dense_rank <= {K})"""
+SCORES = f"""{DENSE}, s0 AS (SELECT d.*, round((dense_score + 1) / 2, 7) AS x FROM d),
+  s AS (SELECT s0.*, round(x * x, 6) AS c, CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.qid = s0.qid AND g.tid = s0.tid) THEN 1 ELSE 0 END AS label FROM s0)"""
+
+
+def _rank(expr: str, salt: str) -> str:
+    return f"sha256('[{SEED}, \"{salt}\", \"' || {expr} || '\"]')"
+
+
+def _split_sql(inner: str) -> str:
+    """CTE p(qid, split) over a CTE named by `inner` with a column qid: the grouped split."""
+    n = "(SELECT count(*) FROM q)"
+    shares = [f"({n} * CAST({s} AS DOUBLE))" for s in sampling.SHARES]
+    sizes = ", ".join(f"CAST(floor({x}) AS BIGINT) AS w{k}, {x} - floor({x}) AS f{k}" for k, x in enumerate(shares))
+    extra = lambda k: f"(CASE WHEN (SELECT count(*) FROM (VALUES " + ", ".join(f"({j}, f{j})" for j in range(4)) + f") AS z(j, f) WHERE f > f{k} OR (f = f{k} AND j < {k})) < total - w0 - w1 - w2 - w3 THEN 1 ELSE 0 END)"
+    bounds = "b0 AS (SELECT count(*) AS total, " + sizes.replace(n, "count(*)") + " FROM q), b1 AS (SELECT " + ", ".join(f"w{k} + {extra(k)} AS n{k}" for k in range(4)) + " FROM b0)"
+    return f"""q AS ({inner}), {bounds}, p AS (SELECT qid, CASE WHEN i <= n0 THEN 'fit' WHEN i <= n0 + n1 THEN 'dev' WHEN i <= n0 + n1 + n2 THEN 'calibration' ELSE 'audit' END AS split
+  FROM (SELECT qid, row_number() OVER (ORDER BY {_rank('qid', 'split')}, qid) AS i FROM q), b1)"""
+
+
+VECTOR_SPLITS = _split_sql("SELECT id AS qid FROM v WHERE source = 1")
+HELD = "h AS (SELECT DISTINCT g.tid FROM g JOIN p USING (qid) WHERE p.split <> 'fit')"
+DECIDED = f"""{SCORES}, k AS (SELECT qid, tid, source, x, CASE WHEN x >= {LOWER} AND x <= {UPPER} THEN c END AS c, x >= {LOWER} AND x <= {UPPER} AS routed,
+  x > {UPPER} OR (x >= {LOWER} AND x <= {UPPER} AND c >= {ACCEPT}) AS accepted FROM s)"""
+F_SQL = "CASE WHEN positives = 0 THEN CAST(predicted = 0 AS DOUBLE) WHEN tp = 0 THEN 0.0 ELSE CAST(1.25 AS DOUBLE) * tp / (CAST(0.25 AS DOUBLE) * positives + predicted) END"
+
+
+def _items_sql(pairs: str, truth: str, base: str) -> str:
+    """Query for the metrics of the entities in `base`, from tables with qid and tid."""
+    return f"""SELECT b.qid, coalesce(t.n, 0) AS positives, coalesce(m.predicted, 0) AS predicted, coalesce(m.tp, 0) AS tp, coalesce(m.candidate_hits, 0) AS candidate_hits, coalesce(m.routed, 0) AS routed, coalesce(m.pairs, 0) AS pairs
+    FROM {base} b LEFT JOIN (SELECT qid, count(*) AS n FROM {truth} GROUP BY qid) t ON t.qid = b.qid
+    LEFT JOIN (SELECT k.qid, count(*) FILTER (accepted) AS predicted, count(*) FILTER (accepted AND g.tid IS NOT NULL) AS tp, count(g.tid) AS candidate_hits, count(*) FILTER (routed) AS routed, count(*) AS pairs
+      FROM {pairs} k LEFT JOIN {truth} g ON g.qid = k.qid AND g.tid = k.tid GROUP BY k.qid) m ON m.qid = b.qid"""
+
+
+ROLLUP = """count(*) AS entities, round(avg(f), 6) AS macro_f05, round(sum(tp) / greatest(sum(predicted), 1), 6) AS precision, round(sum(tp) / greatest(sum(positives), 1), 6) AS recall,
+  round(sum(candidate_hits) / greatest(sum(positives), 1), 6) AS candidate_pair_recall, """ + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in ("tp", "predicted", "positives", "candidate_hits", "routed", "pairs"))
+
+
+def _rounded(report: DataFrame) -> DataFrame:
+    return report.withColumns({c: F.round(c, 6) for c in ("macro_f05", "precision", "recall", "candidate_pair_recall")})
+
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+# ---- sampling and splits -----------------------------------------------------------------------------------
+
+
+@query(f"WITH {ENTITIES} SELECT entity_id FROM (SELECT entity_id, row_number() OVER (ORDER BY {_rank('entity_id', 'sample')}, entity_id) AS i, count(*) OVER () AS n FROM e WHERE source = 1) WHERE i <= ceil(n * 10 / 100.0)")
+def hash_sample(spark, sf_dir):
+    return sampling.select(entities(spark, sf_dir).where("source = 1").select("entity_id"), 10, SEED)
+
+
+@query(f"WITH {VECTORS}, {VECTOR_SPLITS} SELECT qid, split FROM p")
+def grouped_split(spark, sf_dir):
+    return vector_splits(spark, sf_dir)
+
+
+@query(f"WITH {VECTORS}, {VECTOR_SPLITS} SELECT split, count(*) AS n FROM p GROUP BY split")
+def split_counts(spark, sf_dir):
+    return vector_splits(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {TRUTH}, m AS (SELECT DISTINCT tid FROM g WHERE source = 2 AND qid < 'S1-2'), o AS (SELECT id, row_number() OVER (ORDER BY {_rank('id', 'target2')}, id) AS i, count(*) OVER () AS n FROM v WHERE source = 2 AND id NOT IN (SELECT tid FROM m))
+SELECT id AS entity_id FROM o WHERE i <= ceil(n * 25 / 100.0) UNION ALL SELECT tid FROM m""")
+def distractor_pool(spark, sf_dir):
+    must = vector_truth(spark, sf_dir).where("source = 2 and qid < 'S1-2'").select(F.col("tid").alias("entity_id"))
+    return sampling.distractors(vectors(spark, sf_dir).where("source = 2").select(F.col("id").alias("entity_id")), must, 25, SEED, "target2")
+
+
+@query(f"WITH {VECTORS} SELECT qid, CASE WHEN i <= n // 2 THEN 'probability' ELSE 'policy' END AS half FROM (SELECT id AS qid, row_number() OVER (ORDER BY {_rank('id', 'calibration-half')}) AS i, count(*) OVER () AS n FROM v WHERE source = 1)")
+def calibration_halves(spark, sf_dir):
+    return sampling.calibration_halves(vector_sides(spark, sf_dir)[0].select("qid"), SEED, "qid")
+
+
+@query(f"WITH {TRUTH} SELECT qid, tid, CAST(row_number() OVER (PARTITION BY qid ORDER BY sha256('[{SEED}, 3, \"' || qid || '\", \"' || tid || '\"]')) AS INTEGER) AS place FROM g")
+def epoch_order(spark, sf_dir):
+    keyed = vector_truth(spark, sf_dir).select("qid", "tid", sampling.shuffle_order(SEED, F.lit(3), F.col("qid"), F.col("tid")).alias("k"))
+    return sampling.top_per_group(keyed, ["qid"], [F.col("k")], 1 << 30, "place").drop("k")
+
+
+@query(f"WITH {ENTITIES} SELECT entity_id FROM (SELECT entity_id, row_number() OVER (ORDER BY sha256('{SEED}:' || entity_id)) AS i FROM e WHERE source = 1) WHERE i <= 20")
+def explorer_selection(spark, sf_dir):
+    return explorer.chosen_queries(entities(spark, sf_dir).where("source = 1"), 20, SEED).select("entity_id")
+
+
+@query(f"WITH {ENTITIES} SELECT source, entity_id FROM (SELECT source, entity_id, row_number() OVER (PARTITION BY source ORDER BY sha256('{SEED}:target:' || entity_id)) AS i FROM e WHERE source > 1 AND doc_id % 7 <> 0) WHERE i <= 50")
+def explorer_background(spark, sf_dir):
+    targets = entities(spark, sf_dir).where("source > 1")
+    return explorer.background(targets, targets.where("doc_id % 7 = 0").select("entity_id"), SEED, 50).select("source", "entity_id")
+
+
+# ---- views and features ------------------------------------------------------------------------------------
+
+
+@query(f"WITH {ENTITIES} SELECT entity_id, {RAW} AS raw FROM e")
+def serialized_records(spark, sf_dir):
+    return entities(spark, sf_dir).select("entity_id", serialize().alias("raw"))
+
+
+@query(f"WITH {VIEWS} SELECT entity_id, raw, normalized, latin, normalized || ' ' || latin AS lexical FROM r")
+def record_views(spark, sf_dir):
+    return with_views(entities(spark, sf_dir)).select("entity_id", "raw", "normalized", "latin", lexical().alias("lexical"))
+
+
+@query(f"WITH {VIEWS} SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(normalized) - 1), lambda i: substr(normalized, i, 3))) AS gram FROM r WHERE length(normalized) >= 3) GROUP BY gram")
+def char_trigrams(spark, sf_dir):
+    return with_views(entities(spark, sf_dir)).select(F.explode(char_grams(F.col("normalized"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NIBBLE = lambda p: f"(strpos('0123456789abcdef', substr(h, {p}, 1)) - 1)"
+
+
+@query(f"""WITH {VIEWS}, t AS (SELECT entity_id, unnest(CASE WHEN length(normalized) >= 3 THEN list_transform(range(1, length(normalized) - 1), lambda i: substr(normalized, i, 3)) ELSE [normalized] END) AS gram FROM r),
+ k AS (SELECT entity_id, sha256('"' || gram || '"') AS h FROM t), b AS (SELECT entity_id, CAST(({_NIBBLE(15)} % 4) * 16 + {_NIBBLE(16)} AS INTEGER) AS bucket, sum(CASE WHEN {_NIBBLE(14)} % 2 = 1 THEN 1 ELSE -1 END) AS n FROM k GROUP BY ALL)
+SELECT entity_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY entity_id)), 5) AS value FROM b WHERE n <> 0""")
+def hash_embedding(spark, sf_dir):
+    made = hash_vectors(with_views(entities(spark, sf_dir)), "entity_id", "normalized")
+    return made.select("entity_id", F.posexplode("embedding").alias("bucket", "value")).where("value <> 0").select("entity_id", "bucket", F.round(F.col("value").cast("double"), 5).alias("value"))
+
+
+def _neighbours(spark, sf_dir):
+    """Each reference beside the two documents that follow it."""
+    e = entities(spark, sf_dir)
+    q, t = e.where("source = 1"), e.where("source > 1")
+    pairs = q.select(F.col("entity_id").alias("qid"), F.explode(F.array(F.col("doc_id") + 1, F.col("doc_id") + 2)).alias("doc_id")).join(t.select("doc_id", F.col("entity_id").alias("tid")), "doc_id").drop("doc_id")
+    return pairs, q.withColumnRenamed("entity_id", "qid"), t.withColumnRenamed("entity_id", "tid")
+
+
+_TOKENS = lambda x: f"CASE WHEN {x} = '' THEN CAST([] AS VARCHAR[]) ELSE list_distinct(string_split({x}, ' ')) END"
+_JACCARD = lambda a, b: f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / len(list_distinct(list_concat({a}, {b}))) END"
+
+
+@query(f"""WITH {ENTITIES}, z AS (SELECT entity_id, doc_id, source, {', '.join(f'{_normal(f)} AS {f}' for f in FIELDS)}, list_distinct(regexp_extract_all(business_address, '\\p{{Nd}}+')) AS numbers FROM e),
+ y AS (SELECT *, {', '.join(f'{_TOKENS(f)} AS t_{f}' for f in FIELDS)} FROM z)
+SELECT a.entity_id AS qid, b.entity_id AS tid, {', '.join(f"CAST(a.{f} <> '' AND a.{f} = b.{f} AS DOUBLE) AS {f}_exact, round({_JACCARD(f'a.t_{f}', f'b.t_{f}')}, 6) AS {f}_jaccard, CAST(a.{f} = '' AS DOUBLE) AS {f}_left_missing, CAST(b.{f} = '' AS DOUBLE) AS {f}_right_missing" for f in FIELDS)},
+ round({_JACCARD('a.numbers', 'b.numbers')}, 6) AS numeric_jaccard, CAST(len(a.numbers) > 0 AND list_sort(a.numbers) = list_sort(b.numbers) AS DOUBLE) AS numeric_exact
+FROM y a JOIN y b ON a.source = 1 AND b.source > 1 AND b.doc_id - a.doc_id IN (1, 2)""")
+def set_features(spark, sf_dir):
+    pairs, q, t = _neighbours(spark, sf_dir)
+    fields = [*FIELDS, "numbers"]
+    both = pairs.join(features.normalized_fields(q, "qid").select("qid", F.struct(*fields).alias("l")), "qid").join(features.normalized_fields(t, "tid").select("tid", F.struct(*fields).alias("r")), "tid")
+    return both.select("qid", "tid", *[(F.round(c, 6) if "jaccard" in n else c).alias(n) for n, c in features.native_features().items()])
+
+
+@query()
+def pair_features(spark, sf_dir):
+    pairs, q, t = _neighbours(spark, sf_dir)
+    return features.extract(pairs.withColumn("dense_score", F.lit(0.0)).withColumn("tfidf_score", F.lit(0.0)), q, t)
+
+
+@query()
+def fixture_scores(spark, sf_dir):
+    return pair_features(spark, sf_dir).select("qid", "tid", scoring.fixture_tree_score().alias("x"))
+
+
+@query()
+def name_ratio(spark, sf_dir):
+    pairs, q, t = _neighbours(spark, sf_dir)
+    both = pairs.join(q.select("qid", F.col("business_name").alias("a")), "qid").join(t.select("tid", F.col("business_name").alias("b")), "tid")
+    return both.select("qid", "tid", sequence_ratio("a", "b").alias("ratio"))
+
+
+@query(f"WITH {ENTITIES} SELECT source, field, count(*) AS rows, CAST(count(*) FILTER (value = '') AS BIGINT) AS missing, count(DISTINCT value) FILTER (value <> '') AS distinct_values, CAST(count(*) FILTER (n > 1 AND value <> '') AS BIGINT) AS duplicated FROM (SELECT *, count(*) OVER (PARTITION BY source, field, value) AS n FROM (SELECT source, 'business_name' AS field, business_name AS value FROM e UNION ALL SELECT source, 'country', country FROM e)) GROUP BY ALL")
+def field_profile(spark, sf_dir):
+    return blocking.profile(entities(spark, sf_dir), ["business_name", "country"])
+
+
+# ---- retrieval ---------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {DENSE} SELECT qid, tid, source, dense_score, dense_rank FROM d")
+def dense_topk_query(spark, sf_dir):
+    return vector_pairs(spark, sf_dir)
+
+
+QUERIES["dense_topk"], ORACLE_SQL["dense_topk"] = QUERIES.pop("dense_topk_query"), ORACLE_SQL.pop("dense_topk_query")
+
+
+@query()
+def dense_channel_search(spark, sf_dir):
+    """The production switch: exact up to a thousand targets in a source, compressed beyond. tests/ holds the recall."""
+    return dense_channel(*vector_sides(spark, sf_dir), K, exact_limit=1000, ivf_nlist=64, pq_m=32, nprobe=48, train_rows=20_000)
+
+
+@query(f"WITH {DENSE}, n AS (SELECT unnest([1, 5, 10]) AS k), w AS (SELECT n.k, g.qid, count(*) AS n, count(*) FILTER (d.dense_rank <= n.k) AS h FROM g CROSS JOIN n LEFT JOIN d ON d.qid = g.qid AND d.tid = g.tid GROUP BY ALL) SELECT CAST(k AS INTEGER) AS k, round(sum(h) / sum(n), 6) AS pair_recall, round(avg(CAST(h > 0 AS DOUBLE)), 6) AS any_recall, round(avg(CAST(h = n AS DOUBLE)), 6) AS all_recall FROM w GROUP BY k")
+def recall_at_k(spark, sf_dir):
+    found = metrics.recall_at(vector_pairs(spark, sf_dir), vector_truth(spark, sf_dir), [1, 5, 10], "dense_rank")
+    return found.select("k", *[F.round(c, 6).alias(c) for c in ("pair_recall", "any_recall", "all_recall")])
+
+
+def _lexical_sides(spark, sf_dir):
+    viewed = with_views(entities(spark, sf_dir)).withColumn("lexical", lexical())
+    return viewed.where("source = 1").withColumnRenamed("entity_id", "qid").drop("source"), viewed.where("source > 1").withColumnRenamed("entity_id", "tid")
+
+
+_GRAMS = "unnest(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)))"
+MAX_FEATURES = 3000
+TFIDF = f"""{VIEWS}, lx AS (SELECT entity_id AS id, source, lower(normalized || ' ' || latin) AS x FROM r),
+ tg AS (SELECT id, source, gram, count(*) AS tf FROM (SELECT id, source, {_GRAMS} AS gram FROM lx WHERE source > 1) GROUP BY ALL),
+ dn AS (SELECT source, count(*) AS n FROM lx WHERE source > 1 GROUP BY source),
+ vo AS (SELECT source, gram, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT source, gram, count(*) AS df, row_number() OVER (PARTITION BY source ORDER BY sum(tf) DESC, gram) AS i FROM tg GROUP BY source, gram) JOIN dn USING (source) WHERE i <= {MAX_FEATURES}),
+ tw AS (SELECT id, source, gram, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id, source)) AS w FROM tg JOIN vo USING (source, gram)),
+ qg AS (SELECT id, s.source, gram, count(*) AS tf FROM (SELECT id, {_GRAMS} AS gram FROM lx WHERE source = 1) CROSS JOIN (SELECT unnest([2, 3]) AS source) s GROUP BY ALL),
+ qw AS (SELECT id, source, gram, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id, source)) AS w FROM qg JOIN vo USING (source, gram)),
+ sp0 AS (SELECT q.id AS qid, t.id AS tid, t.source, round(sum(q.w * t.w), 6) AS tfidf_score FROM qw q JOIN tw t USING (source, gram) GROUP BY ALL),
+ sp AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY tfidf_score DESC, tid) AS INTEGER) AS tfidf_rank FROM sp0) WHERE tfidf_rank <= {K})"""
+
+
+@query(f"WITH {TFIDF} SELECT source, gram, round(idf, 6) AS idf FROM vo")
+def tfidf_idf(spark, sf_dir):
+    return tfidf_vocabulary(_lexical_sides(spark, sf_dir)[1], max_features=MAX_FEATURES).select("source", "gram", F.round("idf", 6).alias("idf"))
+
+
+def _sparse_weights(spark, sf_dir):
+    q, t = _lexical_sides(spark, sf_dir)
+    vocabulary = cut(tfidf_vocabulary(t, max_features=MAX_FEATURES))
+    return tfidf_weights(query_counts(q, [2, 3]), vocabulary, "qid"), tfidf_weights(gram_counts(t, "tid"), vocabulary, "tid")
+
+
+@query(f"WITH {TFIDF} SELECT qid, tid, source, tfidf_score, tfidf_rank FROM sp")
+def sparse_search(spark, sf_dir):
+    return sparse_topk(*_sparse_weights(spark, sf_dir), K)
+
+
+_HASHED = f"""tq AS (SELECT entity_id, unnest(CASE WHEN length(normalized) >= 3 THEN list_transform(range(1, length(normalized) - 1), lambda i: substr(normalized, i, 3)) ELSE [normalized] END) AS gram FROM r),
+ hq AS (SELECT entity_id, sha256('"' || gram || '"') AS h FROM tq), bq AS (SELECT entity_id, CAST(({_NIBBLE(15)} % 4) * 16 + {_NIBBLE(16)} AS INTEGER) AS bucket, sum(CASE WHEN {_NIBBLE(14)} % 2 = 1 THEN 1 ELSE -1 END) AS n FROM hq GROUP BY ALL),
+ hv AS (SELECT entity_id, bucket, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY entity_id)) AS FLOAT) AS DOUBLE) AS value FROM bq),
+ de0 AS (SELECT a.entity_id AS qid, b.entity_id AS tid, b.source, coalesce(round(x.s, 6), 0) AS dense_score FROM e a JOIN e b ON a.source = 1 AND b.source > 1 LEFT JOIN (SELECT p.entity_id AS i, q.entity_id AS j, sum(p.value * q.value) AS s FROM hv p JOIN hv q USING (bucket) GROUP BY ALL) x ON x.i = a.entity_id AND x.j = b.entity_id),
+ de AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY dense_score DESC, tid) AS INTEGER) AS dense_rank FROM de0) WHERE dense_rank <= {K})"""
+
+
+@query(f"""WITH {TFIDF}, {_HASHED} SELECT qid, tid, source, round(coalesce(de.dense_score, de0.dense_score), 4) AS dense_score, round(coalesce(sp.tfidf_score, sp0.tfidf_score, 0), 4) AS tfidf_score, coalesce(tfidf_rank, 0) AS tfidf_rank, CASE WHEN dense_rank IS NULL THEN 'tfidf' WHEN tfidf_rank IS NULL THEN 'dense' ELSE 'dense,tfidf' END AS channels
+FROM de FULL OUTER JOIN sp USING (qid, tid, source) LEFT JOIN de0 USING (qid, tid, source) LEFT JOIN sp0 USING (qid, tid, source)""")
+def candidate_pairs(spark, sf_dir):
+    q, t = _lexical_sides(spark, sf_dir)
+    q, t = (cut(side.join(hash_vectors(side, key, "normalized"), key)) for side, key in ((q, "qid"), (t, "tid")))
+    qw, tw = (cut(w) for w in _sparse_weights(spark, sf_dir))
+    pairs = cut(candidate_union(dense_topk(q, t, K), sparse_topk(qw, tw, K)))
+    full = fill_sparse(fill_dense(pairs, q, t), qw, tw)
+    return full.select("qid", "tid", "source", F.round("dense_score", 4).alias("dense_score"), F.round("tfidf_score", 4).alias("tfidf_score"), F.coalesce("tfidf_rank", F.lit(0)).alias("tfidf_rank"), F.array_join("channels", ",").alias("channels"))
+
+
+@query(f"WITH {DENSE}, o AS (SELECT qid, source, tid, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY sha256(qid || tid)) AS INTEGER) AS r FROM d), u AS (SELECT qid, source, tid, dense_rank AS r FROM d UNION ALL SELECT * FROM o), f AS (SELECT qid, source, tid, round(sum(1.0::DOUBLE / (60 + r)), 9) AS rrf FROM u GROUP BY ALL) SELECT * FROM (SELECT qid, source, tid, rrf, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY rrf DESC, tid) AS INTEGER) AS rank FROM f) WHERE rank <= 5")
+def fused_ranks(spark, sf_dir):
+    d = vector_pairs(spark, sf_dir).select("qid", "source", "tid", F.lit("dense").alias("channel"), F.col("dense_rank").alias("rank"))
+    other = sampling.top_per_group(d.drop("rank"), ["qid", "source"], [F.sha2(F.concat("qid", "tid"), 256)], 1 << 30).withColumn("channel", F.lit("hash"))
+    return blocking.reciprocal_rank_fusion(d.unionByName(other), cap=5)
+
+
+@query(f"""WITH {ENTITIES}, z AS (SELECT entity_id, source, {_normal('business_name')} AS nn FROM e), w AS (SELECT DISTINCT entity_id, source, token FROM (SELECT entity_id, source, unnest(string_split(nn, ' ')) AS token FROM z) WHERE token <> ''),
+ n AS (SELECT source, count(*) AS n FROM e GROUP BY source), y AS (SELECT source, token, ln(n / df) AS w FROM (SELECT source, token, count(*) AS df FROM w WHERE source > 1 GROUP BY ALL) JOIN n USING (source) WHERE df <= 20),
+ u AS (SELECT q.entity_id AS qid, t.source, t.entity_id AS tid, round(sum(y.w), 6) AS weight FROM w q JOIN y ON q.source = 1 AND q.token = y.token JOIN w t ON t.source = y.source AND t.token = y.token GROUP BY ALL)
+SELECT * FROM (SELECT qid, source, tid, weight, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY weight DESC, tid) AS INTEGER) AS rank FROM u) WHERE rank <= 5""")
+def token_blocks(spark, sf_dir):
+    named = features.normalized_fields(entities(spark, sf_dir), "entity_id").select("entity_id", tokens(F.col("business_name")).alias("tokens")).join(entities(spark, sf_dir).select("entity_id", "source"), "entity_id")
+    return blocking.token_blocking(named.where("source = 1").select(F.col("entity_id").alias("qid"), "tokens"), named.where("source > 1").select(F.col("entity_id").alias("tid"), "source", "tokens"), 5, 20)
+
+
+# ---- supervision -------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SCORES}, {VECTOR_SPLITS}, {HELD} SELECT s.qid, s.tid, s.source, s.dense_score, s.label, p.split FROM s JOIN p USING (qid) WHERE p.split <> 'fit' OR NOT EXISTS (SELECT 1 FROM h WHERE h.tid = s.tid)")
+def supervised_pairs(spark, sf_dir):
+    found = supervision.supervised_pairs(vector_pairs(spark, sf_dir), vector_truth(spark, sf_dir), vector_splits(spark, sf_dir))
+    return found.select("qid", "tid", "source", "dense_score", "label", "split")
+
+
+_NEGATIVES = f"""{SCORES}, {VECTOR_SPLITS}, {HELD}, ng AS (SELECT * FROM (SELECT s.qid, s.tid, s.source, p.split, row_number() OVER (PARTITION BY s.qid, s.source ORDER BY dense_rank) AS i FROM s JOIN p USING (qid)
+  WHERE label = 0 AND p.split IN ('fit', 'dev') AND (p.split <> 'fit' OR s.tid NOT IN (SELECT tid FROM h))) WHERE i <= 3)"""
+
+
+def _negatives(spark, sf_dir):
+    return supervision.hard_negatives(vector_pairs(spark, sf_dir), vector_truth(spark, sf_dir), vector_splits(spark, sf_dir), 3, "dense_rank")
+
+
+@query(f"WITH {_NEGATIVES} SELECT qid, tid, source, split FROM ng")
+def hard_negatives(spark, sf_dir):
+    return _negatives(spark, sf_dir)
+
+
+@query(f"""WITH {_NEGATIVES} SELECT g.qid, g.tid, 1 AS label, p.split FROM g JOIN p USING (qid) WHERE p.split = 'dev' OR (p.split = 'fit' AND g.tid NOT IN (SELECT tid FROM h))
+UNION ALL SELECT qid, tid, 0, split FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tid) AS j FROM ng) WHERE j <= 3""")
+def training_examples(spark, sf_dir):
+    return supervision.training_examples(vector_truth(spark, sf_dir), _negatives(spark, sf_dir), vector_splits(spark, sf_dir), 3, [F.col("tid")])
+
+
+@query(f"WITH {DENSE} SELECT qid, tid, source FROM (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY dense_rank, qid) AS i FROM d) WHERE i = 1")
+def insert_or_ignore(spark, sf_dir):
+    return supervision.insert_or_ignore(vector_pairs(spark, sf_dir), ["tid"], [F.col("dense_rank"), F.col("qid")]).select("qid", "tid", "source")
+
+
+@query(f"WITH RECURSIVE {TRUTH}, l AS (SELECT DISTINCT a.qid AS a, b.qid AS b FROM g a JOIN g b USING (tid)), c AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON c.b = l.a) SELECT a AS qid, min(b) AS \"group\" FROM c GROUP BY a")
+def entity_groups(spark, sf_dir):
+    return blocking.entity_groups(vector_truth(spark, sf_dir).select("qid", "tid"))
+
+
+# ---- scoring and decisions ---------------------------------------------------------------------------------
+
+
+_TIES = "u AS (SELECT x, sum(label) AS s, count(*) AS n, row_number() OVER (ORDER BY x) AS i FROM (SELECT round(x, 2) AS x, label FROM s) GROUP BY x)"
+
+
+@query(f"""WITH {SCORES}, {_TIES}, w AS (SELECT i, x, s, n, sum(s) OVER (ORDER BY i) AS cs, sum(n) OVER (ORDER BY i) AS cn FROM u),
+ m AS (SELECT a.i AS j, b.i AS k, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM w a JOIN w b ON a.i <= b.i),
+ lo AS (SELECT j, k, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS lo FROM m)
+SELECT u.x AS score, round(max(lo.lo), 6) AS fitted FROM u JOIN lo ON lo.j <= u.i AND lo.k = u.i GROUP BY u.x""")
+def isotonic_fit(spark, sf_dir):
+    rows = cut(vector_scores(spark, sf_dir).select(F.round("x", 2).alias("score"), "label"))
+    knots = scoring.isotonic_knots(rows, "score")
+    return rows.select("score").distinct().select("score", F.round(scoring.isotonic_apply(F.col("score"), knots), 6).alias("fitted"))
+
+
+@query(f"""WITH {SCORES}, gv AS (SELECT unnest([-1e-6, 0.0, 0.25, 0.5, 0.75, 1.0, 1 + 1e-6]::DOUBLE[]) AS t), po AS (SELECT a.t AS lower, b.t AS upper, c.t AS acceptance FROM gv a JOIN gv b ON a.t < b.t CROSS JOIN gv c),
+ pp AS (SELECT lower, upper, acceptance, qid, count(*) FILTER (x > upper OR (x >= lower AND x <= upper AND c >= acceptance)) AS predicted, count(*) FILTER (label = 1 AND (x > upper OR (x >= lower AND x <= upper AND c >= acceptance))) AS tp, count(*) FILTER (x >= lower AND x <= upper) AS routed FROM s CROSS JOIN po GROUP BY ALL),
+ ii AS (SELECT pp.*, coalesce(t.n, 0) AS positives FROM pp LEFT JOIN (SELECT qid, count(*) AS n FROM g GROUP BY qid) t USING (qid))
+SELECT lower, upper, acceptance, round(sum({F_SQL}), 5) AS f, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(predicted) AS BIGINT) AS predicted, CAST(sum(routed) AS BIGINT) AS routed FROM ii GROUP BY ALL""")
+def policy_grid(spark, sf_dir):
+    found = scoring.evaluate_policies(cut(vector_scores(spark, sf_dir)), vector_sides(spark, sf_dir)[0].select("qid"), vector_truth(spark, sf_dir), scoring.policy_grid(spark, 5))
+    return found.select("lower", "upper", "acceptance", F.round("f", 5).alias("f"), "tp", "predicted", "routed")
+
+
+@query(ORACLE_SQL["policy_grid"].replace("SELECT lower, upper, acceptance, round(sum(", "SELECT lower, upper, acceptance, f, precision FROM (SELECT *, round(tp / greatest(predicted, 1), 6) AS precision FROM (SELECT lower, upper, acceptance, round(sum(") + ")) ORDER BY f DESC, precision DESC, routed, lower, upper, acceptance LIMIT 1")
+def best_policy(spark, sf_dir):
+    found = scoring.best_policy(policy_grid(spark, sf_dir).withColumn("policy", F.struct("lower", "upper", "acceptance")))
+    return found.select("lower", "upper", "acceptance", "f", F.round("precision", 6).alias("precision"))
+
+
+@query(f"WITH {DECIDED} SELECT qid, tid, source, x, c, routed, accepted FROM k")
+def routed_decisions(spark, sf_dir):
+    return vector_decisions(spark, sf_dir)
+
+
+@query(f"WITH {SCORES} SELECT qid, tid, x FROM s WHERE x >= 0.95 * (SELECT max(z.x) FROM s z WHERE z.qid = s.qid)")
+def relative_guard(spark, sf_dir):
+    return blocking.relative_guard(vector_scores(spark, sf_dir), 0.95, "x").select("qid", "tid", "x")
+
+
+@query()
+def gbt_scores(spark, sf_dir):
+    """Boosted trees on four features of the vector pairs, with the round chosen on dev."""
+    zero = {n: F.lit(0.0) for n in features.FEATURE_NAMES}
+    own = {"dense_similarity": F.col("dense_score"), "tfidf_similarity": F.col("dense_score") * F.col("dense_score"), "numeric_jaccard": 1.0 / F.col("dense_rank"), "numeric_exact": (F.col("source") == 2).cast("double")}
+    rows = cut(supervision.supervised_pairs(vector_pairs(spark, sf_dir), vector_truth(spark, sf_dir), vector_splits(spark, sf_dir)).withColumns(zero | own))
+    model, _ = scoring.fit_gbt(rows.where("split = 'fit'"), rows.where("split = 'dev'"), trees=20, depth=3, patience=5, step=10)
+    return scoring.gbt_scores(model, rows.where("split = 'audit'")).select("qid", "tid", "x")
+
+
+# ---- metrics, lists and checks -----------------------------------------------------------------------------
+
+
+def _items(spark, sf_dir):
+    return metrics.entity_metrics(vector_sides(spark, sf_dir)[0].select("qid"), vector_truth(spark, sf_dir), vector_decisions(spark, sf_dir))
+
+
+_BASE = f"{DECIDED}, base AS (SELECT id AS qid FROM v WHERE source = 1), it0 AS ({_items_sql('k', 'g', 'base')}), it AS (SELECT *, {F_SQL} AS f FROM it0)"
+
+
+@query(f"WITH {_BASE} SELECT qid, positives, predicted, tp, candidate_hits, routed, pairs, round(f, 6) AS f FROM it")
+def entity_metrics(spark, sf_dir):
+    return _items(spark, sf_dir).withColumn("f", F.round("f", 6))
+
+
+@query(f"WITH {_BASE} SELECT {ROLLUP} FROM it")
+def overall_metrics(spark, sf_dir):
+    return _rounded(metrics.rollup(_items(spark, sf_dir)))
+
+
+@query(f"""WITH {_BASE}, rc AS (SELECT 'S1-' || doc_id AS qid, e.* FROM e), tg AS (SELECT it.*, 'all' AS tag FROM it JOIN rc USING (qid) UNION ALL SELECT it.*, 'country:' || country FROM it JOIN rc USING (qid) UNION ALL SELECT it.*, 'singleton' FROM it JOIN rc USING (qid) WHERE positives = 0
+ UNION ALL SELECT it.*, 'missing_field' FROM it JOIN rc USING (qid) WHERE business_name = '' OR business_address = '' OR country = '' UNION ALL SELECT it.*, 'non_ascii' FROM it JOIN rc USING (qid) WHERE NOT regexp_full_match(business_name || business_address, '[\\x00-\\x7F]*'))
+SELECT tag, {ROLLUP} FROM tg GROUP BY tag""".replace("rc AS (SELECT 'S1-'", ENTITIES + ", rc AS (SELECT 'S1-'"))
+def metrics_by_tag(spark, sf_dir):
+    records = entities(spark, sf_dir).select(F.concat(F.lit("S1-"), F.col("doc_id").cast("string")).alias("qid"), *FIELDS, F.concat("business_name", "business_address").alias("raw"))
+    return _rounded(metrics.by_tag(_items(spark, sf_dir), records))
+
+
+@query(f"""WITH {DECIDED}, base AS (SELECT id || '|' || s AS qid FROM v CROSS JOIN (SELECT unnest([2, 3]) AS s) WHERE source = 1), k2 AS (SELECT qid || '|' || source AS qid, tid, accepted, routed FROM k), g2 AS (SELECT qid || '|' || source AS qid, tid FROM g),
+ it0 AS ({_items_sql('k2', 'g2', 'base')}), it AS (SELECT *, {F_SQL} AS f FROM it0) SELECT CAST(split_part(qid, '|', 2) AS INTEGER) AS source, {ROLLUP} FROM it GROUP BY 1""")
+def metrics_by_source(spark, sf_dir):
+    return _rounded(metrics.by_source(vector_sides(spark, sf_dir)[0].select("qid"), vector_truth(spark, sf_dir), vector_decisions(spark, sf_dir), [2, 3]))
+
+
+@query(f"""WITH {SCORES}, th AS (SELECT unnest([0.5, 0.6, 0.7]::DOUBLE[]) AS threshold), base AS (SELECT id || '|' || threshold AS qid FROM v CROSS JOIN th WHERE source = 1), k2 AS (SELECT qid || '|' || threshold AS qid, tid, x >= threshold AS accepted, false AS routed FROM s CROSS JOIN th), g2 AS (SELECT qid || '|' || threshold AS qid, tid FROM g CROSS JOIN th),
+ it0 AS ({_items_sql('k2', 'g2', 'base')}), it AS (SELECT *, {F_SQL} AS f FROM it0) SELECT CAST(split_part(qid, '|', 2) AS DOUBLE) AS threshold, {ROLLUP} FROM it GROUP BY 1""")
+def threshold_sweep(spark, sf_dir):
+    return _rounded(metrics.threshold_sweep(vector_scores(spark, sf_dir), vector_sides(spark, sf_dir)[0].select("qid"), vector_truth(spark, sf_dir), [0.5, 0.6, 0.7]))
+
+
+@query(f"WITH {SCORES}, k AS (SELECT qid, tid, true AS accepted, false AS routed FROM s WHERE label = 1), base AS (SELECT id AS qid FROM v WHERE source = 1), it0 AS ({_items_sql('k', 'g', 'base')}), it AS (SELECT *, {F_SQL} AS f FROM it0) SELECT {ROLLUP} FROM it")
+def oracle_ceiling(spark, sf_dir):
+    return _rounded(metrics.oracle_ceiling(vector_sides(spark, sf_dir)[0].select("qid"), vector_truth(spark, sf_dir), vector_pairs(spark, sf_dir)))
+
+
+def _lists(spark, sf_dir):
+    decided = vector_decisions(spark, sf_dir)
+    queries = vector_sides(spark, sf_dir)[0].select("qid")
+    return id_lists(queries, decided, "candidates").join(id_lists(queries, decided.where("accepted"), "matches"), "qid")
+
+
+@query(f"WITH {DECIDED} SELECT v.id AS qid, coalesce(string_agg(k.tid, ',' ORDER BY k.tid), '') AS candidates, coalesce(string_agg(k.tid, ',' ORDER BY k.tid) FILTER (k.accepted), '') AS matches FROM v LEFT JOIN k ON k.qid = v.id WHERE v.source = 1 GROUP BY v.id")
+def result_lists(spark, sf_dir):
+    return _lists(spark, sf_dir)
+
+
+@query(f"WITH {TRUTH} SELECT v.id AS source1_entity_id, coalesce(string_agg(g.tid, ',' ORDER BY g.tid), '') AS matched_entity_ids FROM v LEFT JOIN g ON g.qid = v.id WHERE v.source = 1 GROUP BY v.id")
+def truth_lists(spark, sf_dir):
+    return id_lists(vector_sides(spark, sf_dir)[0].select("qid"), vector_truth(spark, sf_dir), "matched_entity_ids").withColumnRenamed("qid", "source1_entity_id")
+
+
+@query(f"WITH {TRUTH} SELECT qid, tid FROM g")
+def truth_pairs(spark, sf_dir):
+    return explode_truth(truth_lists(spark, sf_dir))
+
+
+@query(f"WITH {DECIDED} SELECT qid, tid FROM k WHERE accepted AND source = 2 EXCEPT SELECT qid, tid FROM k WHERE NOT routed")
+def containment_check(spark, sf_dir):
+    decided = vector_decisions(spark, sf_dir)
+    return validate.outside_candidates(decided.where("accepted and source = 2"), decided.where("not routed"))
+
+
+_BROKEN = "CASE WHEN i % 5 = 0 THEN 'S9-' || vec_id ELSE 'S1-' || vec_id END AS qid, CASE WHEN i % 4 = 0 THEN 'S2-x' ELSE 'S2-1' END AS candidates, CASE WHEN i % 3 = 0 THEN 'S2-1,S2-1' WHEN i % 7 = 0 THEN 'S2-4' ELSE '' END AS matches"
+
+
+@query(f"""WITH {VECTORS}, li AS (SELECT {_BROKEN} FROM (SELECT *, vec_id // 3 AS i FROM v WHERE source = 1)), ex AS (SELECT qid, unnest(string_split(candidates || ',' || matches, ',')) AS tid FROM li)
+SELECT DISTINCT qid, 'unknown_query' AS problem FROM li WHERE qid NOT IN (SELECT id FROM v WHERE source = 1) UNION ALL SELECT DISTINCT qid, 'bad_target_ids' FROM li WHERE matches = 'S2-1,S2-1'
+UNION ALL SELECT DISTINCT qid, 'unknown_target' FROM ex WHERE tid <> '' AND tid NOT IN (SELECT id FROM v WHERE source > 1) UNION ALL SELECT DISTINCT qid, 'outside_candidates' FROM li WHERE (matches LIKE 'S2-1%' AND candidates <> 'S2-1') OR (matches = 'S2-4')""")
+def list_violations(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    broken = v.where("source = 1").withColumn("i", F.floor(F.col("vec_id") / 3)).selectExpr(*[x for x in (
+        "CASE WHEN i % 5 = 0 THEN concat('S9-', vec_id) ELSE concat('S1-', vec_id) END AS qid", "CASE WHEN i % 4 = 0 THEN 'S2-x' ELSE 'S2-1' END AS candidates",
+        "CASE WHEN i % 3 = 0 THEN 'S2-1,S2-1' WHEN i % 7 = 0 THEN 'S2-4' ELSE '' END AS matches",
+    )])
+    return validate.list_violations(broken, v.select("id", "source"))
+
+
+@query(f"WITH {VECTORS} SELECT id AS qid, 'left' AS side FROM v WHERE source = 1 AND vec_id % 2 = 1 UNION ALL SELECT 'X' || id, 'right' FROM v WHERE source = 1 AND vec_id % 5 = 0")
+def coverage_check(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    lists = v.where("source = 1 and vec_id % 2 = 0").select(F.col("id").alias("qid")).unionByName(v.where("source = 1 and vec_id % 5 = 0").select(F.concat(F.lit("X"), F.col("id")).alias("qid")))
+    return validate.uncovered(lists, v.select("id", "source"))
+
+
+@query(f"WITH {ENTITIES} SELECT source, count(*) AS n, count(DISTINCT country) AS countries, string_agg(DISTINCT country, ',' ORDER BY country) AS names FROM e GROUP BY source")
+def source_counts(spark, sf_dir):
+    return entities(spark, sf_dir).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("country").alias("countries"), F.array_join(F.array_sort(F.collect_set("country")), ",").alias("names"))
+
+
+@query(f"WITH {TRUTH} SELECT count(g.tid) AS links, count(DISTINCT v.id) FILTER (g.tid IS NULL) AS singletons FROM v LEFT JOIN g ON g.qid = v.id WHERE v.source = 1")
+def link_counts(spark, sf_dir):
+    every = vector_sides(spark, sf_dir)[0].select("qid").join(vector_truth(spark, sf_dir), "qid", "left")
+    return every.agg(F.count("tid").alias("links"), F.count_if(F.col("tid").isNull()).alias("singletons"))
+
+
+@query()
+def near_misses(spark, sf_dir):
+    """The explorer's unlinked neighbours of twenty references in a bounded pool."""
+    every = entities(spark, sf_dir)
+    queries, targets = cut(explorer.chosen_queries(every.where("source = 1"), 20, SEED)), every.where("source > 1")
+    none = targets.where("false").select("entity_id")
+    truth = queries.select(F.col("entity_id").alias("qid"), F.concat(F.lit("S2-"), (F.col("doc_id") + 1).cast("string")).alias("tid"))
+    return explorer.near_misses(queries, explorer.background(targets, none, SEED), truth)
+
+
