@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import char_grams
-from ..session import cut
+from ..session import cut, spread
 
 DIGITS = 6
 BLOCK_ROWS = 4096
@@ -64,7 +64,7 @@ def dense_topk(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """
     types = {"q": queries.schema["qid"].dataType.simpleString(), "t": targets.schema["tid"].dataType.simpleString(), "score": "dense_score"}
     every = None
-    use = targets.select("tid", F.col("source").cast("int"), "embedding").where("embedding is not null")
+    use = spread(targets.select("tid", F.col("source").cast("int"), "embedding").where("embedding is not null"))
     for block in _blocks(queries.select("qid", "embedding").where("embedding is not null"), "qid", BLOCK_ROWS):
         local = block.toPandas()
         shared = queries.sparkSession.sparkContext.broadcast((local["qid"].tolist(), np.array(local["embedding"].tolist(), float).reshape(len(local), -1)))
@@ -104,13 +104,15 @@ def gram_counts(texts: DataFrame, id_col: str, text_col: str = "lexical") -> Dat
     return texts.select(id_col, "source", F.explode(char_grams(F.lower(text_col))).alias("gram")).groupBy(id_col, "source", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_vocabulary(targets: DataFrame, text_col: str = "lexical", max_features: int = 500_000) -> DataFrame:
+def tfidf_vocabulary(targets: DataFrame, text_col: str = "lexical", max_features: int = 500_000, counts: DataFrame | None = None) -> DataFrame:
     """(source, gram, idf) fitted on the targets of each source: ln((1 + n) / (1 + df)) + 1.
 
-    The `max_features` grams with the largest total count stay; of equal ones the smaller gram.
+    The `max_features` grams with the largest total count stay; of equal ones the smaller gram. `counts` are
+    the targets' trigram counts where they are at hand.
     """
     sizes = targets.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    grams = gram_counts(targets, "tid", text_col).groupBy("source", "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    counts = gram_counts(targets, "tid", text_col) if counts is None else counts
+    grams = counts.groupBy("source", "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
     best = grams.withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("total"), "gram"))).where(F.col("_r") <= max_features)
     # one row for each source
     return best.join(F.broadcast(sizes), "source").select("source", "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -141,7 +143,7 @@ def sparse_topk(query_weights: DataFrame, target_weights: DataFrame, k: int, blo
     task by task.
     """
     types = {"q": query_weights.schema["qid"].dataType.simpleString(), "t": target_weights.schema["tid"].dataType.simpleString(), "score": "tfidf_score"}
-    targets = cut(_vectors(target_weights, "tid"))
+    targets = spread(cut(_vectors(target_weights, "tid")))
     every = None
     for block in _blocks(_vectors(query_weights, "qid"), "qid", block_rows):
         local = block.toPandas()
@@ -213,8 +215,9 @@ def fill_sparse(pairs: DataFrame, query_weights: DataFrame, target_weights: Data
 def retrieve(queries: DataFrame, targets: DataFrame, top_k_dense: int = 150, top_k_tfidf: int = 150, max_features: int = 500_000) -> DataFrame:
     """Candidate pairs with both similarities. queries (qid, lexical, embedding), targets (tid, source, lexical, embedding)."""
     sources = [r[0] for r in targets.select("source").distinct().orderBy("source").collect()]
-    vocabulary = cut(tfidf_vocabulary(targets, max_features=max_features))
-    target_weights = cut(tfidf_weights(gram_counts(targets, "tid"), vocabulary, "tid"))
+    counts = cut(gram_counts(targets, "tid"))
+    vocabulary = cut(tfidf_vocabulary(targets, max_features=max_features, counts=counts))
+    target_weights = cut(tfidf_weights(counts, vocabulary, "tid"))
     query_weights = cut(tfidf_weights(query_counts(queries, sources), vocabulary, "qid"))
     pairs = cut(candidate_union(dense_topk(queries, targets, top_k_dense), sparse_topk(query_weights, target_weights, top_k_tfidf)))
     return fill_sparse(fill_dense(pairs, queries, targets), query_weights, target_weights)

@@ -14,7 +14,7 @@ from ..functions.text import FIELDS, char_grams, hash_vectors, lexical, sequence
 from ..operators import blocking, features, metrics, sampling, scoring, supervision, validate
 from ..operators.ivfpq import dense_channel
 from ..operators.retrieval import candidate_union, dense_topk, fill_dense, fill_sparse, gram_counts, query_counts, sparse_topk, tfidf_vocabulary, tfidf_weights
-from ..session import cut, table
+from ..session import cut, spread, table
 from ..sources.tsv import explode_truth, id_lists
 from . import explorer
 
@@ -28,10 +28,11 @@ LOWER, UPPER, ACCEPT = 0.55, 0.7, 0.45
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
     source = (1 + F.col("doc_id") % 3).cast("int")
-    return table(spark, sf_dir, "documents").select(
+    found = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("S"), source.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), source.alias("source"),
         F.substring(text, 1, 40).alias("business_name"), F.substring(text, 41, 60).alias("business_address"), F.col("lang").alias("country"), "doc_id",
     )
+    return spread(found)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -290,7 +291,7 @@ def recall_at_k(spark, sf_dir):
 
 
 def _lexical_sides(spark, sf_dir):
-    viewed = with_views(entities(spark, sf_dir)).withColumn("lexical", lexical())
+    viewed = cut(with_views(entities(spark, sf_dir)).withColumn("lexical", lexical()))
     return viewed.where("source = 1").withColumnRenamed("entity_id", "qid").drop("source"), viewed.where("source > 1").withColumnRenamed("entity_id", "tid")
 
 
@@ -312,15 +313,15 @@ def tfidf_idf(spark, sf_dir):
     return tfidf_vocabulary(_lexical_sides(spark, sf_dir)[1], max_features=MAX_FEATURES).select("source", "gram", F.round("idf", 6).alias("idf"))
 
 
-def _sparse_weights(spark, sf_dir):
-    q, t = _lexical_sides(spark, sf_dir)
-    vocabulary = cut(tfidf_vocabulary(t, max_features=MAX_FEATURES))
-    return tfidf_weights(query_counts(q, [2, 3]), vocabulary, "qid"), tfidf_weights(gram_counts(t, "tid"), vocabulary, "tid")
+def _sparse_weights(q, t):
+    counts = cut(gram_counts(t, "tid"))
+    vocabulary = cut(tfidf_vocabulary(t, max_features=MAX_FEATURES, counts=counts))
+    return tfidf_weights(query_counts(q, [2, 3]), vocabulary, "qid"), tfidf_weights(counts, vocabulary, "tid")
 
 
 @query(f"WITH {TFIDF} SELECT qid, tid, source, tfidf_score, tfidf_rank FROM sp")
 def sparse_search(spark, sf_dir):
-    return sparse_topk(*_sparse_weights(spark, sf_dir), K)
+    return sparse_topk(*_sparse_weights(*_lexical_sides(spark, sf_dir)), K)
 
 
 _HASHED = f"""tq AS (SELECT entity_id, unnest(CASE WHEN length(normalized) >= 3 THEN list_transform(range(1, length(normalized) - 1), lambda i: substr(normalized, i, 3)) ELSE [normalized] END) AS gram FROM r),
@@ -330,15 +331,15 @@ _HASHED = f"""tq AS (SELECT entity_id, unnest(CASE WHEN length(normalized) >= 3
  de AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY dense_score DESC, tid) AS INTEGER) AS dense_rank FROM de0) WHERE dense_rank <= {K})"""
 
 
-@query(f"""WITH {TFIDF}, {_HASHED} SELECT qid, tid, source, round(coalesce(de.dense_score, de0.dense_score), 4) AS dense_score, round(coalesce(sp.tfidf_score, sp0.tfidf_score, 0), 4) AS tfidf_score, coalesce(tfidf_rank, 0) AS tfidf_rank, CASE WHEN dense_rank IS NULL THEN 'tfidf' WHEN tfidf_rank IS NULL THEN 'dense' ELSE 'dense,tfidf' END AS channels
+@query(f"""WITH {TFIDF}, {_HASHED} SELECT qid, tid, source, coalesce(de.dense_score, de0.dense_score) AS dense_score, coalesce(sp.tfidf_score, sp0.tfidf_score, 0) AS tfidf_score, coalesce(tfidf_rank, 0) AS tfidf_rank, CASE WHEN dense_rank IS NULL THEN 'tfidf' WHEN tfidf_rank IS NULL THEN 'dense' ELSE 'dense,tfidf' END AS channels
 FROM de FULL OUTER JOIN sp USING (qid, tid, source) LEFT JOIN de0 USING (qid, tid, source) LEFT JOIN sp0 USING (qid, tid, source)""")
 def candidate_pairs(spark, sf_dir):
     q, t = _lexical_sides(spark, sf_dir)
     q, t = (cut(side.join(hash_vectors(side, key, "normalized"), key)) for side, key in ((q, "qid"), (t, "tid")))
-    qw, tw = (cut(w) for w in _sparse_weights(spark, sf_dir))
+    qw, tw = (cut(w) for w in _sparse_weights(q, t))
     pairs = cut(candidate_union(dense_topk(q, t, K), sparse_topk(qw, tw, K)))
     full = fill_sparse(fill_dense(pairs, q, t), qw, tw)
-    return full.select("qid", "tid", "source", F.round("dense_score", 4).alias("dense_score"), F.round("tfidf_score", 4).alias("tfidf_score"), F.coalesce("tfidf_rank", F.lit(0)).alias("tfidf_rank"), F.array_join("channels", ",").alias("channels"))
+    return full.select("qid", "tid", "source", "dense_score", "tfidf_score", F.coalesce("tfidf_rank", F.lit(0)).alias("tfidf_rank"), F.array_join("channels", ",").alias("channels"))
 
 
 @query(f"WITH {DENSE}, o AS (SELECT qid, source, tid, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY sha256(qid || tid)) AS INTEGER) AS r FROM d), u AS (SELECT qid, source, tid, dense_rank AS r FROM d UNION ALL SELECT * FROM o), f AS (SELECT qid, source, tid, round(sum(1.0::DOUBLE / (60 + r)), 9) AS rrf FROM u GROUP BY ALL) SELECT * FROM (SELECT qid, source, tid, rrf, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY rrf DESC, tid) AS INTEGER) AS rank FROM f) WHERE rank <= 5")
