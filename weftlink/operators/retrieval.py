@@ -67,7 +67,7 @@ def dense_topk(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     use = spread(targets.select("tid", F.col("source").cast("int"), "embedding").where("embedding is not null"))
     for block in _blocks(queries.select("qid", "embedding").where("embedding is not null"), "qid", BLOCK_ROWS):
         local = block.toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast((local["qid"].tolist(), np.array(local["embedding"].tolist(), float).reshape(len(local), -1)))
+        shared = queries.sparkSession.sparkContext.broadcast((local["qid"].tolist(), np.array(local["embedding"].tolist(), float)))
 
         def search(batches, shared=shared):
             ids, vectors = shared.value

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ratio
+from ..functions.text import normalize_text, ratio
 from .features import FEATURE_NAMES
 
 
@@ -18,10 +19,6 @@ def fixture_tree_score() -> Column:
 
 def fixture_cross_score(query_text: str = "query_text", target_text: str = "target_text") -> Column:
     """Sequence ratio of the normalized raw texts."""
-    import pandas as pd
-
-    from ..functions.text import normalize_text
-
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([ratio(normalize_text(x), normalize_text(y)) for x, y in zip(a, b)], dtype="float64")
@@ -150,8 +147,9 @@ def decide(scored: DataFrame, lower: float, upper: float, acceptance: float, cro
 def isotonic_by_blocks(scored: DataFrame, score: str, label: str = "label") -> DataFrame:
     """(score, fit) by the max-min formula, for small inputs: an independent statement of the fit."""
     tied = scored.groupBy(score).agg(F.sum(F.col(label).cast("double")).alias("s"), F.count(F.lit(1)).alias("n")).withColumn("i", F.row_number().over(Window.orderBy(score)))
-    run = tied.select("i", F.sum("s").over(Window.orderBy("i")).alias("S"), F.sum("n").over(Window.orderBy("i")).alias("N"), "s", "n")
-    a, b = run.select(F.col("i").alias("j"), (F.col("S") - F.col("s")).alias("s0"), (F.col("N") - F.col("n")).alias("n0")), run.select(F.col("i").alias("k"), "S", "N")
-    means = a.join(b, F.col("j") <= F.col("k")).select("j", "k", ((F.col("S") - F.col("s0")) / (F.col("N") - F.col("n0"))).alias("m"))
+    upto = lambda c: F.sum(c).over(Window.orderBy("i"))
+    run = tied.select("i", upto("s").alias("sum"), upto("n").alias("num"), "s", "n")
+    a, b = run.select(F.col("i").alias("j"), (F.col("sum") - F.col("s")).alias("sum0"), (F.col("num") - F.col("n")).alias("num0")), run.select(F.col("i").alias("k"), "sum", "num")
+    means = a.join(b, F.col("j") <= F.col("k")).select("j", "k", ((F.col("sum") - F.col("sum0")) / (F.col("num") - F.col("num0"))).alias("m"))
     inner = means.withColumn("low", F.min("m").over(Window.partitionBy("j").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)))
     return tied.select("i", score).join(inner, (F.col("k") == F.col("i")) & (F.col("j") <= F.col("i"))).groupBy("i", score).agg(F.max("low").alias("fit")).drop("i")
