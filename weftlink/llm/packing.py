@@ -13,6 +13,7 @@ packed one by one; an empty table gives no rows; a null id is packed and stays n
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 
@@ -34,6 +35,17 @@ CAPACITY = 4096
 END = 1
 CACHED_WORDS = 1_500_000  # about 200 bytes each
 _TRAIL = b".,;:!?&$%*#"
+_SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The printable character by which a byte-level vocabulary writes each byte: itself, or the next one from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
+_BYTE_CHARS = _byte_chars()
 
 PIECE = np.dtype([("doc_id", "<i8"), ("known", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 _BIN = T.StructType([T.StructField("load", T.IntegerType()), T.StructField("pieces", T.BinaryType()), T.StructField("sequence_id", T.LongType())])
@@ -50,6 +62,8 @@ class WordTokenizer:
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
+        # words of plain small letters need no normal form and no split, only the model
+        self.letters = Tokenizer(self.inner.model)
         self.known: dict[bytes, bytes] = {}
         self.limit = limit
 
@@ -75,10 +89,15 @@ class WordTokenizer:
         return stem if last.isalnum() or accented else word
 
     def _learn(self, words: list[bytes]) -> None:
+        plain = [w for w in words if _SMALL.fullmatch(w)]
+        rest = list(set(words).difference(plain))
+        self._encode(self.letters, plain, [w.decode("latin-1").translate(_BYTE_CHARS) for w in plain])
+        self._encode(self.inner, rest, [w.decode("utf-8", "replace") for w in rest])
+
+    def _encode(self, tokenizer, words: list[bytes], texts: list[str]) -> None:
         for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            found = self.inner.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in found)))
+            found = tokenizer.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)
+            self.known.update(zip(words[k : k + 20_000], (array("I", e.ids).tobytes() for e in found)))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [self._lower(t).split() for t in texts]
