@@ -358,6 +358,32 @@ def token_blocks(spark, sf_dir):
     return blocking.token_blocking(named.where("source = 1").select(F.col("entity_id").alias("qid"), "tokens"), named.where("source > 1").select(F.col("entity_id").alias("tid"), "source", "tokens"), 5, 20)
 
 
+@query(f"""WITH {ENTITIES}, z AS (SELECT entity_id, source, {_normal('business_name')} AS nn FROM e), w AS (SELECT DISTINCT entity_id, source, token FROM (SELECT entity_id, source, unnest(list_transform(range(1, length(nn) - 2), lambda i: substr(nn, i, 4))) AS token FROM z WHERE length(nn) >= 4)),
+ n AS (SELECT source, count(*) AS n FROM e GROUP BY source), y AS (SELECT source, token, ln(n / df) AS w FROM (SELECT source, token, count(*) AS df FROM w WHERE source > 1 GROUP BY ALL) JOIN n USING (source) WHERE df <= 20),
+ u AS (SELECT q.entity_id AS qid, t.source, t.entity_id AS tid, round(sum(y.w), 6) AS weight FROM w q JOIN y ON q.source = 1 AND q.token = y.token JOIN w t ON t.source = y.source AND t.token = y.token GROUP BY ALL)
+SELECT * FROM (SELECT qid, source, tid, weight, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY weight DESC, tid) AS INTEGER) AS rank FROM u) WHERE rank <= 5""")
+def gram_blocks(spark, sf_dir):
+    """Blocking on the 4-grams of names."""
+    named = features.normalized_fields(entities(spark, sf_dir), "entity_id").select("entity_id", char_grams(F.col("business_name"), 4).alias("tokens")).join(entities(spark, sf_dir).select("entity_id", "source"), "entity_id")
+    return blocking.token_blocking(named.where("source = 1").select(F.col("entity_id").alias("qid"), "tokens"), named.where("source > 1").select(F.col("entity_id").alias("tid"), "source", "tokens"), 5, 20)
+
+
+@query(f"WITH {DENSE}, o AS (SELECT qid, tid, CAST(row_number() OVER (PARTITION BY qid ORDER BY sha256(qid || tid)) AS INTEGER) AS r FROM d WHERE source = 2), u AS (SELECT qid, tid, 2 * dense_rank AS turn FROM d WHERE source = 2 UNION ALL SELECT qid, tid, 2 * r + 1 FROM o), m AS (SELECT qid, tid, min(turn) AS turn FROM u GROUP BY ALL) SELECT * FROM (SELECT qid, tid, CAST(row_number() OVER (PARTITION BY qid ORDER BY turn) AS INTEGER) AS rank FROM m) WHERE rank <= 6")
+def interleaved(spark, sf_dir):
+    """Two rankings of the second source merged by turns."""
+    d = vector_pairs(spark, sf_dir).where("source = 2").select("qid", "tid", F.col("dense_rank").alias("rank"))
+    return blocking.interleave(d, sampling.top_per_group(d.drop("rank"), ["qid"], [F.sha2(F.concat("qid", "tid"), 256)], 1 << 30), 6)
+
+
+@query(f"WITH {DENSE}, x AS (SELECT g.qid, g.tid, EXISTS (SELECT 1 FROM d WHERE d.qid = g.qid AND d.tid = g.tid AND d.dense_rank <= 5) AS retrieved FROM g), t AS (SELECT doc_id, coalesce(text, '') AS t, length(regexp_replace(coalesce(text, ''), '[^\p{{L}}]', '', 'g')) AS l, length(regexp_replace(coalesce(text, ''), '[^\p{{Latin}}]', '', 'g')) AS la FROM documents), y AS (SELECT doc_id, CASE WHEN l = 0 THEN 'none' WHEN 2 * la >= l THEN 'latin' ELSE 'other' END AS s FROM t) SELECT retrieved, count(*) AS pairs, count(*) FILTER (a.s <> b.s) AS mismatched FROM x JOIN y a ON a.doc_id = CAST(substr(x.qid, 4) AS BIGINT) JOIN y b ON b.doc_id = CAST(substr(x.tid, 4) AS BIGINT) GROUP BY retrieved")
+def script_mismatch(spark, sf_dir):
+    """Scripts of retrieved and missed true pairs; the documents with the vectors' numbers lend their texts."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    named = lambda key, sources: texts.join(vectors(spark, sf_dir).where(sources), F.col("doc_id") == F.col("vec_id")).select(F.col("id").alias(key), "text")
+    pool = blocking.slice_pool(vector_pairs(spark, sf_dir), 5, "dense_rank")
+    return blocking.script_mismatch(vector_truth(spark, sf_dir).select("qid", "tid"), named("qid", "source = 1"), named("tid", "source > 1"), pool)
+
+
 # ---- supervision -------------------------------------------------------------------------------------------
 
 
