@@ -375,7 +375,7 @@ def interleaved(spark, sf_dir):
     return blocking.interleave(d, sampling.top_per_group(d.drop("rank"), ["qid"], [F.sha2(F.concat("qid", "tid"), 256)], 1 << 30), 6)
 
 
-@query(f"WITH {DENSE}, x AS (SELECT g.qid, g.tid, EXISTS (SELECT 1 FROM d WHERE d.qid = g.qid AND d.tid = g.tid AND d.dense_rank <= 5) AS retrieved FROM g), t AS (SELECT doc_id, coalesce(text, '') AS t, length(regexp_replace(coalesce(text, ''), '[^\p{{L}}]', '', 'g')) AS l, length(regexp_replace(coalesce(text, ''), '[^\p{{Latin}}]', '', 'g')) AS la FROM documents), y AS (SELECT doc_id, CASE WHEN l = 0 THEN 'none' WHEN 2 * la >= l THEN 'latin' ELSE 'other' END AS s FROM t) SELECT retrieved, count(*) AS pairs, count(*) FILTER (a.s <> b.s) AS mismatched FROM x JOIN y a ON a.doc_id = CAST(substr(x.qid, 4) AS BIGINT) JOIN y b ON b.doc_id = CAST(substr(x.tid, 4) AS BIGINT) GROUP BY retrieved")
+@query(f"WITH {DENSE}, x AS (SELECT g.qid, g.tid, EXISTS (SELECT 1 FROM d WHERE d.qid = g.qid AND d.tid = g.tid AND d.dense_rank <= 5) AS retrieved FROM g), t AS (SELECT doc_id, coalesce(text, '') AS t, length(regexp_replace(coalesce(text, ''), '[^\\p{{L}}]', '', 'g')) AS l, length(regexp_replace(coalesce(text, ''), '[^\\p{{Latin}}]', '', 'g')) AS la FROM documents), y AS (SELECT doc_id, CASE WHEN l = 0 THEN 'none' WHEN 2 * la >= l THEN 'latin' ELSE 'other' END AS s FROM t) SELECT retrieved, count(*) AS pairs, count(*) FILTER (a.s <> b.s) AS mismatched FROM x JOIN y a ON a.doc_id = CAST(substr(x.qid, 4) AS BIGINT) JOIN y b ON b.doc_id = CAST(substr(x.tid, 4) AS BIGINT) GROUP BY retrieved")
 def script_mismatch(spark, sf_dir):
     """Scripts of retrieved and missed true pairs; the documents with the vectors' numbers lend their texts."""
     texts = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
