@@ -2,35 +2,31 @@
 
 from __future__ import annotations
 
-from .quality_forest import op8_quality_rules
-
 from .chroma import op5_chroma
 from .gray_simhash import op4_simhash
-
 from .html_wrapper import op10_html_extraction
 from .merge_dropout import op7_sentencepiece
 from .packing import op9_packing
-
-from .substring_dedup import op1_substring_dedup
-
+from .quality_forest import op8_quality_rules
+from .substring_dedup import OP1_SQL, op1_substring_dedup
 from .toxicity import op2_toxicity
-
 from .url_filter import op6_url_filter
 from .warc_bundles import OP3_SQL, op3_warc
 
 QUERIES = {
-    "op5_chroma": op5_chroma,
-    "op7_sentencepiece": op7_sentencepiece,
-    "op10_html_extraction": op10_html_extraction,
-    "op6_url_filter": op6_url_filter,
-    "op3_warc": op3_warc,
-    "op2_toxicity": op2_toxicity,
     "op1_substring_dedup": op1_substring_dedup,
-    "op9_packing": op9_packing,
+    "op2_toxicity": op2_toxicity,
+    "op3_warc": op3_warc,
     "op4_simhash": op4_simhash,
+    "op5_chroma": op5_chroma,
+    "op6_url_filter": op6_url_filter,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_rules": op8_quality_rules,
+    "op9_packing": op9_packing,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": OP1_SQL,
     "op3_warc": OP3_SQL,
 }

@@ -242,7 +242,8 @@ class FingerprintIndex:
         run = self.windows.append(run.withColumn("shared", F.lit(True)))
         late = spread.join(run, ["w1", "w2"]).where(F.col("first") < F.col("_first"))
         mask = late.groupBy("seg").agg(F.bit_or(F.expr("shiftleft(1L, pos)")).alias("mask"))
-        judged = distinct.select("seg", "_first").join(mask, "seg", "left")
+        # written, so that the join below stands on plain shuffles, which adaptive execution splits at a hot segment
+        judged = self._kept(distinct.select("seg", "_first").join(mask, "seg", "left"), "judged")
 
         here = segments if low is None else segments.where(F.col("_id") > low)
         full = F.expr("shiftleft(1L, n) - 1")
@@ -353,3 +354,14 @@ def strip_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ x AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+ f AS (SELECT h, min(doc_id) AS first FROM x GROUP BY h),
+ c AS (SELECT DISTINCT doc_id, i + k AS p FROM x JOIN f USING (h), (SELECT unnest(range(0, 50)) AS k) WHERE first < doc_id),
+ t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+ k AS (SELECT t.doc_id, count(c.p) AS n_removed, coalesce(string_agg(t.word, ' ' ORDER BY t.p) FILTER (c.p IS NULL), '') AS kept FROM t LEFT JOIN c USING (doc_id, p) GROUP BY t.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
