@@ -44,6 +44,15 @@ def append(df: DataFrame, text_col: str, fields: list[T.StructField], compute: C
     return base.mapInArrow(run, schema)
 
 
+#: Rows of a few numbers that may go to every task: some 40 MB at most.
+BROADCAST_ROWS = 500_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """Marks stored `keys` for broadcast if they are at most BROADCAST_ROWS; beyond that a join shuffles both sides."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def labelled_sample(labels: DataFrame, id_col: str, label_col: str, per_class: int) -> DataFrame:
     """At most `per_class` labelled ids of either class (0, 1), by a hash of the id; other labels are ignored."""
     use = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col(id_col).isNotNull())

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..session import cut, table
-from .frames import append, project
+from .frames import append, project, small
 from .textkernel import Slice
 
 SEED = 42
@@ -216,8 +216,8 @@ def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Documents that have the smallest id of their component, with their own columns."""
     prints = cut(fingerprints(documents, id_col=id_col, text_col=text_col, words=words))
     found = near_duplicate_components(prints, id_col=id_col, max_bits=max_bits)
-    drop = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_drop")).distinct()
-    return documents.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
+    drop = cut(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_drop")).distinct())
+    return documents.join(small(drop), F.col(id_col) == F.col("_drop"), "left_anti")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import cut, drop_path, scratch, table
-from .frames import append, project
+from .frames import BROADCAST_ROWS, append, project, small
 from .textkernel import Slice, mix, slices
 
 WINDOW = 50
@@ -146,6 +146,12 @@ def _spread_windows(batches):
         )
 
 
+def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Texts of the ids in `keys`, where those are few enough to filter by before texts are shuffled; else all texts."""
+    ids = keys.select("_id")
+    return texts.join(F.broadcast(ids), "_id", "left_semi") if ids.count() <= BROADCAST_ROWS else texts
+
+
 class Runs:
     """Sorted immutable runs of keys, each with the first document that has it."""
 
@@ -227,10 +233,10 @@ class FingerprintIndex:
 
         shared = joined.where("shared")
         wanted = occurs.join(shared.select("h"), "h").unionByName(shared.where("old is not null").select(F.col("old").alias("_id"), "h"))
-        wanted = wanted.groupBy("_id").agg(F.collect_set("h").alias("wanted"))
+        wanted = self._kept(wanted.groupBy("_id").agg(F.collect_set("h").alias("wanted")), "wanted")
         everyone = self.source if high is None else self.source.where(F.col("_id") <= high)
         segments = self._kept(
-            everyone.join(wanted, "_id").select("_id", F.xxhash64("text").alias("_row"), "text", "wanted").mapInArrow(_digest_segments, _SEGMENT), "segments"
+            _only(everyone, wanted).join(wanted, "_id").select("_id", F.xxhash64("text").alias("_row"), "text", "wanted").mapInArrow(_digest_segments, _SEGMENT), "segments"
         )
 
         distinct = self._kept(segments.groupBy("seg").agg(F.min("_id").alias("_first"), F.any_value("windows").alias("windows")), "distinct")
@@ -318,7 +324,7 @@ def substring_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: s
     for more in edits[1:]:
         covered = covered.unionByName(more)
     texts = index.source.where("_id is not null").withColumn("_row", F.xxhash64("text"))
-    cuts = cut(texts.join(covered, ["_id", "_row"]).dropDuplicates(["_id", "_row"]).select("_id", "_row", "text", "spans").mapInArrow(_cut_texts, _CUT))
+    cuts = cut(_only(texts, covered).join(covered, ["_id", "_row"]).dropDuplicates(["_id", "_row"]).select("_id", "_row", "text", "spans").mapInArrow(_cut_texts, _CUT))
     survey = cut(survey)
     index.delete()
     return survey, cuts
@@ -344,12 +350,15 @@ def strip_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     A row that loses all its words goes; one that loses none keeps its text byte for byte.
     """
     _, cuts = substring_dedup(documents, id_col=id_col, text_col=text_col, batches=batches)
-    edits = cuts.select(F.col("_id").alias("_edit_id"), F.col("_row").alias("_edit_row"), "kept_text")
-    joined = documents.join(edits, (F.col(id_col).cast("long") == F.col("_edit_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_edit_row")), "left")
-    changed = {text_col: F.coalesce("kept_text", F.col(text_col))}
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    keyed = documents.select(*columns, F.col(id_col).cast("long").alias("_edit_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_edit_row"))
+    edits = cuts.select(F.col("_id").alias("_edit_id"), F.col("_row").alias("_edit_row"), F.col("kept_text").alias("_edit_text"))
+    keys, on = small(edits.drop("_edit_text")), ["_edit_id", "_edit_row"]
+    changed = {text_col: F.col("_edit_text")}
     if "n_chars" in documents.columns:
-        changed["n_chars"] = F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")).cast(documents.schema["n_chars"].dataType)
-    return joined.where("kept_text is null or kept_text <> ''").select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns])
+        changed["n_chars"] = F.length("_edit_text").cast(documents.schema["n_chars"].dataType)
+    edited = keyed.join(keys, on, "left_semi").join(edits, on).where("_edit_text <> ''").select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns])
+    return keyed.join(keys, on, "left_anti").select(*columns).unionByName(edited)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
