@@ -135,9 +135,13 @@ def lexical(normalized: str = "normalized", latin_view: str = "latin") -> Column
 
 
 def char_grams(text: Column, n: int = 3) -> Column:
-    """All character n-grams in order, blanks included; none for a shorter text."""
-    length = F.length(text)
-    return F.when(length >= n, F.transform(F.sequence(F.lit(1), length - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    """All character n-grams in order, blanks included; none for a shorter text. Time follows the length.
+
+    The characters are bound to a lambda's variable: an expression inside a lambda runs anew for each element.
+    """
+    none = F.array().cast("array<string>")
+    grams = lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(0), F.size(c) - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))).otherwise(none)
+    return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), grams), F.lit(0))
 
 
 def tokens(normalized: Column) -> Column:

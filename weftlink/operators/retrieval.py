@@ -21,6 +21,8 @@ from ..session import cut, spread
 DIGITS = 6
 BLOCK_ROWS = 4096
 BLOCK_CELLS = 1 << 21  # scores that a task holds at once
+DENSE_CELLS = 1 << 24  # of a block of queries over its grams
+MATRIX_CELLS = 1 << 22  # of some targets over those grams
 
 
 def _blocks(queries: DataFrame, id_col: str, rows: int) -> Iterator[DataFrame]:
@@ -166,21 +168,26 @@ def sparse_topk(query_weights: DataFrame, target_weights: DataFrame, k: int, blo
 
 
 def _multiply(packed: tuple, rows: pd.DataFrame, source: int, k: int) -> Iterator[pd.DataFrame]:
+    """Scores of a block of queries and a task's targets, some targets at a time.
+
+    Both sides become dense over the block's grams where the queries are short of neither rows nor grams; a block over a
+    very wide vocabulary adds up the rows of each query's own grams instead.
+    """
     ids, names, where, weights = packed
     queries = np.array(ids, object)
-    for lo in range(0, len(rows), 512):
-        part = rows.iloc[lo : lo + 512]
+    dense = len(ids) * len(names) <= DENSE_CELLS
+    left = np.zeros((len(ids), len(names))) if dense else None
+    for q, (at, w) in enumerate(zip(where, weights)) if dense else ():
+        left[q, at] = w
+    step = int(np.clip(MATRIX_CELLS // max(len(names), 1), 16, 512))
+    for lo in range(0, len(rows), step):
+        part = rows.iloc[lo : lo + step]
         tids = part["tid"].to_numpy(object)
-        matrix = np.zeros((len(part), len(names)))
+        matrix = np.zeros((len(names), len(part)))
         for i, (grams, values) in enumerate(zip(part["grams"], part["weights"])):
-            for g, v in zip(grams, values):
-                at = names.get(g)
-                if at is not None:
-                    matrix[i, at] = v
-        matrix = np.ascontiguousarray(matrix.T)
-        scores = np.zeros((len(ids), len(part)))
-        for q, (at, w) in enumerate(zip(where, weights)):
-            scores[q] = w @ matrix[at]
+            at = np.array([names.get(g, -1) for g in grams], np.int64)
+            matrix[at[at >= 0], i] = np.asarray(values, float)[at >= 0]
+        scores = left @ matrix if dense else np.stack([w @ matrix[at] for at, w in zip(where, weights)])
         shares = scores > 0  # weights are positive, so a common gram gives a positive score
         scores = np.where(shares, np.round(scores, DIGITS), -1.0)
         row, place = _best(scores, k)

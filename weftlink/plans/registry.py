@@ -1,7 +1,7 @@
 """Queries over the driver tables, each with the SQL that states the same result.
 
 The tables hold no businesses, so documents play the records: a third of them references (source 1), the
-others targets; name and address are the first characters of the text. Vectors are dealt to sources likewise,
+others targets; a text's first line is the name, all its other lines the address. Vectors are dealt to sources likewise,
 and two vectors match if they share a label and a block of thirty ids.
 """
 
@@ -26,11 +26,11 @@ LOWER, UPPER, ACCEPT = 0.55, 0.7, 0.45
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" "))
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", 2)
     source = (1 + F.col("doc_id") % 3).cast("int")
     found = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("S"), source.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), source.alias("source"),
-        F.substring(text, 1, 40).alias("business_name"), F.substring(text, 41, 60).alias("business_address"), F.col("lang").alias("country"), "doc_id",
+        lines[0].alias("business_name"), F.coalesce(F.get(lines, F.lit(1)), F.lit("")).alias("business_address"), F.col("lang").alias("country"), "doc_id",
     )
     return spread(found)
 
@@ -72,9 +72,9 @@ def vector_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENTITIES = """e AS (
-  SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS entity_id, CAST(1 + doc_id % 3 AS INTEGER) AS source, substr(t, 1, 40) AS business_name,
-         substr(t, 41, 60) AS business_address, lang AS country, doc_id
-  FROM (SELECT *, replace(coalesce(text, ''), chr(10), ' ') AS t FROM documents))"""
+  SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS entity_id, CAST(1 + doc_id % 3 AS INTEGER) AS source, split_part(t, chr(10), 1) AS business_name,
+         substr(t, length(split_part(t, chr(10), 1)) + 2) AS business_address, lang AS country, doc_id
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents))"""
 
 
 def _normal(x: str) -> str:
@@ -162,10 +162,10 @@ def split_counts(spark, sf_dir):
     return vector_splits(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {TRUTH}, m AS (SELECT DISTINCT tid FROM g WHERE source = 2 AND qid < 'S1-2'), o AS (SELECT id, row_number() OVER (ORDER BY {_rank('id', 'target2')}, id) AS i, count(*) OVER () AS n FROM v WHERE source = 2 AND id NOT IN (SELECT tid FROM m))
+@query(f"""WITH {TRUTH}, m AS (SELECT DISTINCT tid FROM g WHERE source = 2), o AS (SELECT id, row_number() OVER (ORDER BY {_rank('id', 'target2')}, id) AS i, count(*) OVER () AS n FROM v WHERE source = 2 AND id NOT IN (SELECT tid FROM m))
 SELECT id AS entity_id FROM o WHERE i <= ceil(n * 25 / 100.0) UNION ALL SELECT tid FROM m""")
 def distractor_pool(spark, sf_dir):
-    must = vector_truth(spark, sf_dir).where("source = 2 and qid < 'S1-2'").select(F.col("tid").alias("entity_id"))
+    must = vector_truth(spark, sf_dir).where("source = 2").select(F.col("tid").alias("entity_id"))
     return sampling.distractors(vectors(spark, sf_dir).where("source = 2").select(F.col("id").alias("entity_id")), must, 25, SEED, "target2")
 
 
@@ -185,10 +185,11 @@ def explorer_selection(spark, sf_dir):
     return explorer.chosen_queries(entities(spark, sf_dir).where("source = 1"), 20, SEED).select("entity_id")
 
 
-@query(f"WITH {ENTITIES} SELECT source, entity_id FROM (SELECT source, entity_id, row_number() OVER (PARTITION BY source ORDER BY sha256('{SEED}:target:' || entity_id)) AS i FROM e WHERE source > 1 AND doc_id % 7 <> 0) WHERE i <= 50")
+@query(f"WITH {ENTITIES} SELECT source, entity_id FROM (SELECT source, entity_id, row_number() OVER (PARTITION BY source ORDER BY sha256('{SEED}:target:' || entity_id)) AS i FROM e WHERE source > 1 AND NOT EXISTS (SELECT 1 FROM e q WHERE q.source = 1 AND q.doc_id = e.doc_id - 1 AND q.country = e.country)) WHERE i <= 50")
 def explorer_background(spark, sf_dir):
-    targets = entities(spark, sf_dir).where("source > 1")
-    return explorer.background(targets, targets.where("doc_id % 7 = 0").select("entity_id"), SEED, 50).select("source", "entity_id")
+    every = entities(spark, sf_dir)
+    targets, before = every.where("source > 1"), every.where("source = 1").select((F.col("doc_id") + 1).alias("doc_id"), "country")
+    return explorer.background(targets, targets.join(before, ["doc_id", "country"]).select("entity_id"), SEED, 50).select("source", "entity_id")
 
 
 # ---- views and features ------------------------------------------------------------------------------------
@@ -214,7 +215,7 @@ _NIBBLE = lambda p: f"(strpos('0123456789abcdef', substr(h, {p}, 1)) - 1)"  # no
 
 @query(f"""WITH {VIEWS}, t AS (SELECT entity_id, unnest(CASE WHEN length(normalized) >= 3 THEN list_transform(range(1, length(normalized) - 1), lambda i: substr(normalized, i, 3)) ELSE [normalized] END) AS gram FROM r),
  k AS (SELECT entity_id, sha256('"' || gram || '"') AS h FROM t), b AS (SELECT entity_id, CAST(({_NIBBLE(15)} % 4) * 16 + {_NIBBLE(16)} AS INTEGER) AS bucket, sum(CASE WHEN {_NIBBLE(14)} % 2 = 1 THEN 1 ELSE -1 END) AS n FROM k GROUP BY ALL)
-SELECT entity_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY entity_id)), 5) AS value FROM b WHERE n <> 0""")
+SELECT entity_id, bucket, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY entity_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM b WHERE n <> 0""")
 def hash_embedding(spark, sf_dir):
     made = hash_vectors(with_views(entities(spark, sf_dir)), "entity_id", "normalized")
     return made.select("entity_id", F.posexplode("embedding").alias("bucket", "value")).where("value <> 0").select("entity_id", "bucket", F.round(F.col("value").cast("double"), 5).alias("value"))
@@ -560,11 +561,12 @@ def list_violations(spark, sf_dir):
     return validate.list_violations(broken, v.select("id", "source"))
 
 
-@query(f"WITH {VECTORS} SELECT id AS qid, 'left' AS side FROM v WHERE source = 1 AND vec_id % 2 = 1 UNION ALL SELECT 'X' || id, 'right' FROM v WHERE source = 1 AND vec_id % 5 = 0")
+@query(f"WITH {DECIDED}, li AS (SELECT DISTINCT qid FROM k WHERE accepted UNION SELECT tid FROM k WHERE routed) SELECT id AS qid, 'left' AS side FROM v WHERE source = 1 AND id NOT IN (SELECT qid FROM li) UNION ALL SELECT qid, 'right' FROM li WHERE qid NOT IN (SELECT id FROM v WHERE source = 1)")
 def coverage_check(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    lists = v.where("source = 1 and vec_id % 2 = 0").select(F.col("id").alias("qid")).unionByName(v.where("source = 1 and vec_id % 5 = 0").select(F.concat(F.lit("X"), F.col("id")).alias("qid")))
-    return validate.uncovered(lists, v.select("id", "source"))
+    """Lists of the queries with a match and, wrongly, of routed targets, against all queries."""
+    decided = vector_decisions(spark, sf_dir)
+    lists = decided.where("accepted").select("qid").unionByName(decided.where("routed").select(F.col("tid").alias("qid"))).distinct()
+    return validate.uncovered(lists, vectors(spark, sf_dir).select("id", "source"))
 
 
 @query(f"WITH {ENTITIES} SELECT source, count(*) AS n, count(DISTINCT country) AS countries, string_agg(DISTINCT country, ',' ORDER BY country) AS names FROM e GROUP BY source")
