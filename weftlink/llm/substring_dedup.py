@@ -197,25 +197,31 @@ class FingerprintIndex:
         self.source = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
         self.anchors = Runs(self.spark, "anchors", ["h"], fan_in)
         self.windows = Runs(self.spark, "windows", ["w1", "w2"], fan_in)
-        self.temporary: list[str] = []
+        self.temporary: dict[str, str] = {}
+        self.batches = 0
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
-        self.temporary.append(scratch(self.spark, name))
-        df.write.parquet(self.temporary[-1])
-        return self.spark.read.parquet(self.temporary[-1])
+        self.temporary[name] = scratch(self.spark, name)
+        df.write.parquet(self.temporary[name])
+        return self.spark.read.parquet(self.temporary[name])
+
+    def _drop(self, *names: str) -> None:
+        for name in names:
+            drop_path(self.spark, self.temporary.pop(name))
 
     def add(self, low: int | None, high: int | None) -> tuple[DataFrame, DataFrame]:
         """Takes in the documents with low < id <= high.
 
         Returns their survey (_id, _row, n_words, sha) and the covered windows (_id, _row, spans).
         """
+        self.batches += 1
         docs = self.source.where(F.col("_id").isNotNull())
         if low is not None:
             docs = docs.where(F.col("_id") > low)
         if high is not None:
             docs = docs.where(F.col("_id") <= high)
         fields = [T.StructField("n_words", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("anchors", T.ArrayType(T.LongType()))]
-        survey = self._kept(append(docs.withColumn("_row", F.xxhash64("text")), "text", fields, _survey).drop("text"), "survey")
+        survey = self._kept(append(docs.withColumn("_row", F.xxhash64("text")), "text", fields, _survey).drop("text"), f"survey-{self.batches}")
 
         occurs = survey.select("_id", F.explode("anchors").alias("h"))
         mine = occurs.groupBy("h").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
@@ -240,6 +246,8 @@ class FingerprintIndex:
         )
 
         distinct = self._kept(segments.groupBy("seg").agg(F.min("_id").alias("_first"), F.any_value("windows").alias("windows")), "distinct")
+        places = self._kept(segments.drop("windows"), "places")
+        self._drop("segments")
         spread = distinct.select("seg", "_first", "windows").mapInArrow(_spread_windows, "w1 long, w2 long, seg binary, pos int, _first long")
         run = spread.groupBy("w1", "w2").agg(F.min("_first").alias("first"))
         past = self.windows.read()
@@ -251,17 +259,18 @@ class FingerprintIndex:
         # written, so that the join below stands on plain shuffles, which adaptive execution splits at a hot segment
         judged = self._kept(distinct.select("seg", "_first").join(mask, "seg", "left"), "judged")
 
-        here = segments if low is None else segments.where(F.col("_id") > low)
+        here = places if low is None else places.where(F.col("_id") > low)
         full = F.expr("shiftleft(1L, n) - 1")
-        covered = here.drop("windows").join(judged, "seg").select("_id", "_row", "at", F.when(F.col("_id") > F.col("_first"), full).otherwise(F.coalesce("mask", F.lit(0))).alias("mask"))
+        covered = here.join(judged, "seg").select("_id", "_row", "at", F.when(F.col("_id") > F.col("_first"), full).otherwise(F.coalesce("mask", F.lit(0))).alias("mask"))
         covered = covered.where("mask <> 0").groupBy("_id", "_row").agg(F.collect_set(F.struct("at", "mask")).alias("spans"))
-        return survey.drop("anchors"), self._kept(covered, "covered")
+        covered = self._kept(covered, f"covered-{self.batches}")
+        self._drop("met", "wanted", "places", "distinct", "judged")
+        return survey.drop("anchors"), covered
 
     def delete(self) -> None:
         self.anchors.delete()
         self.windows.delete()
-        for path in self.temporary:
-            drop_path(self.spark, path)
+        self._drop(*list(self.temporary))
 
 
 def batch_bounds(documents: DataFrame, id_col: str, batches: int) -> list[tuple[int | None, int | None]]:
