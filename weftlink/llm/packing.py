@@ -33,7 +33,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CAPACITY = 4096
 END = 1
-CACHED_WORDS = 1_500_000  # about 200 bytes each
+CACHED_WORDS = 800_000  # about 200 bytes each
 _TRAIL = b".,;:!?&$%*#"
 _SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
