@@ -34,7 +34,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.vocabulary())
+    # workers outlive their stage and keep their words, so the store is smaller than where packing runs alone
+    return packing.pack(docs, packing.vocabulary(), cached_words=500_000)
 
 
 STAGES = [
