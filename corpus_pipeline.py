@@ -2,7 +2,7 @@
 
 Five stages in order; each takes the Parquet that the one before wrote, and all but the last return the
 columns of documents: quality rules and toxicity drop the documents they reject, near-dedup keeps
-the smallest id of each group, substring dedup takes repeated passages out of the texts (a document that is left
+the smallest id of each group of texts whose sets of five-word shingles are 80 % alike, substring dedup takes repeated passages out of the texts (a document that is left
 without a word goes), packing returns a row for each piece of a sequence.
 
 Models are fitted on the labelled rows among a stage's own input. Null texts fail the quality rules;
@@ -26,7 +26,7 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return gray_simhash.one_of_each(docs)
+    return gray_simhash.one_of_each(docs, words=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from ..operators.components import connected_components
 from ..session import cut, table
 from .frames import append, project, small
+from .shingle_join import similar_groups
 from .textkernel import Slice
 
 SEED = 42
@@ -212,10 +213,16 @@ def _local_links(batches, max_bits: int):
     yield pd.DataFrame({"node": names[moved], "root": root[moved]})
 
 
-def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
-    """Documents that have the smallest id of their component, with their own columns."""
+def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2, percent: int | None = None) -> DataFrame:
+    """Documents that have the smallest id of their component, with their own columns.
+
+    With `percent`, documents link at that Jaccard similarity of their shingle sets, whatever their bits:
+    the index proposes pairs, `similar_groups` verifies them on whole texts and finds the pairs that bits miss.
+    """
     prints = cut(fingerprints(documents, id_col=id_col, text_col=text_col, words=words))
     found = near_duplicate_components(prints, id_col=id_col, max_bits=max_bits)
+    if percent is not None:
+        found = similar_groups(documents, cut(found), id_col=id_col, text_col=text_col, words=words, percent=percent)
     drop = cut(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_drop")).distinct())
     return documents.join(small(drop), F.col(id_col) == F.col("_drop"), "left_anti")
 
