@@ -1,5 +1,6 @@
 import html
 import re
+import zlib
 
 import pytest
 
@@ -82,5 +83,15 @@ def test_copies_are_no_evidence(spark):
     assert {r.text for r in extract(df, infer_wrappers(df)).collect()} == {"same words"}
 
 
+def test_copies_beside_many_pages_are_no_evidence(spark):
+    own = max((f"own words {k}" for k in range(200)), key=lambda t: zlib.crc32(f"lead\x00{t}".encode()))
+    copies = [f"<div><p>lead</p><blockquote>{own}</blockquote></div>"] * 60
+    pages = [f"<div><p>text of page {k}</p></div>" for k in range(60)] + copies
+    df = spark.createDataFrame([(k, "http://h/x", p) for k, p in enumerate(pages)], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.text for r in extract(df, infer_wrappers(df)).collect()}
+    assert {got[60 + k] for k in range(60)} == {f"lead {own}"}
+    assert all(got[k] == f"text of page {k}" for k in range(60))
+
+
 def test_query(spark, sf_dir):
     assert op10_html_extraction(spark, sf_dir).columns == ["page_id", "url", "text", "n_chars"]

@@ -3,8 +3,8 @@
 The token streams of a host's pages are aligned one after the other into a wrapper: a sequence of tags,
 text slots, optional parts and repeated groups. Tandem repeats of a stream fold into groups, known groups also
 fold single occurrences, a mismatch that the longest common subsequence leaves on either side becomes optional, and texts
-that meet in one place become a slot, which knows the texts that most distinct pages share there. Tasks build
-partial wrappers of their own pages, which merge by the same alignment, host by host.
+that meet in one place become a slot, which knows the texts that most distinct pages share there. Pages of a host with
+equal texts count once over all tasks. Tasks build partial wrappers of those pages, which merge by the same alignment, host by host.
 
 A page is then read through its host's wrapper. Texts under menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments never count, and where the page has an article or main element just its texts do.
@@ -20,12 +20,14 @@ exceed that is judged by its own context.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 import zlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -418,6 +420,19 @@ def _host(url):
     return F.lower(F.coalesce(F.regexp_extract(url.cast("string"), r"^[^:]*://([^/?#]*)", 1), F.lit("")))
 
 
+def _texts_digest(page: Page) -> bytes:
+    return hashlib.blake2b("\x00".join(page.texts).encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def _digested(batches):
+    """Pages (host, html) that are not empty, with the digest of their texts."""
+    schema = pa.schema([("host", pa.string()), ("html", pa.string()), ("digest", pa.binary())])
+    for batch in batches:
+        kept = batch.filter(pc.greater(pc.binary_length(batch.column(1)), 0))
+        digests = [_texts_digest(Page(source.as_py())) for source in kept.column(1)]
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), pa.array(digests, pa.binary())], schema=schema)
+
+
 def _partial(batches):
     wrappers: dict[str, Wrapper] = {}
 
@@ -439,7 +454,9 @@ def _partial(batches):
 def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", salts: int = 16) -> DataFrame:
     """(host, wrapper) over all pages: partial wrappers of tasks, merged in two steps."""
     rows = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
-    partial = rows.mapInArrow(_partial, "host string, wrapper string")
+    # copies in all tasks are one page before anything is counted
+    distinct = rows.mapInArrow(_digested, "host string, html string, digest binary").groupBy("host", "digest").agg(F.min("html").alias("html")).select("host", "html")
+    partial = distinct.mapInArrow(_partial, "host string, wrapper string")
     salted = partial.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).cast("int"))
     first = salted.groupBy("host", "salt").applyInPandas(_merge_group, "host string, wrapper string")
     return cut(first.groupBy("host").applyInPandas(_merge_group, "host string, wrapper string"))
