@@ -10,7 +10,6 @@ from weftlink.llm.packing import WordTokenizer, best_fit, pack, vocabulary
 
 def plain_ids(text):
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -52,6 +51,15 @@ def test_rounds_and_edges(spark):
     assert sorted(str(r.doc_id) for r in pack(twins, vocabulary()).collect()) == ["5", "5", "None", "None"]
 
 
+def test_rounds_that_save_nothing_come_to_an_end(spark):
+    texts = {k: "word " * (6 if k % 9 else 2) for k in range(600)}  # of 10: two of the larger never meet, the small ones join them
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(6)
+    n, _ = held(pack(df, vocabulary(), capacity=10, bins_per_task=8).collect(), texts, 10)
+    assert n == sum(1 for k in texts if k % 9)
+    with pytest.raises(ValueError):
+        pack(df, vocabulary(), bins_per_task=1)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_best_fit(seed):
     sizes = np.random.default_rng(seed).integers(1, 101, 500)
@@ -62,6 +70,7 @@ def test_best_fit(seed):
 
 
 def test_words_equal_whole_text():
-    texts = ["Straße ÉCOLE x y\x0bz\x1cq", "İstanbul ΟΔΟΣ Ος. don't I'LL", "é ́ a\r\n\r\nb", "日本語 テスト 123 4.5", "", "J\u030cA H\u0331. É, Ö; ÷. x—. €. 3.! a'. it's. ... #a# Ñ&& J. Ǆ.", "THE the The, the. (989) <|endoftext|>."]
+    texts = ["Straße ÉCOLE x y\x0bz\x1cq", "İstanbul ΟΔΟΣ Ος. don't I'LL", "é ́ a\r\n\r\nb", "日本語 テスト 123 4.5", "", "J\u030cA H\u0331. É, Ö; ÷. x—. €. 3.! a'. it's. ... #a# Ñ&& J. Ǆ.", "THE the The, the. (989) <|endoftext|>.", "a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|><|endoftext|> <|endof", "É<|startoftext|>\u0301 x<|endoftext|>"]
     t = WordTokenizer(vocabulary())
+    assert plain_ids("x <|endoftext|>")[-2] == 49407
     assert [np.frombuffer(x, "<u4").tolist() + [1] for x in t.encode([x.encode() for x in texts])] == [plain_ids(x) for x in texts]

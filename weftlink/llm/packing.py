@@ -2,11 +2,16 @@
 
 Each task tokenizes its documents, cuts those longer than a sequence, and packs the pieces best-fit in
 falling order of size. Nearly full bins are final; the others become the items of the next round, dealt to
-fewer tasks, until one task holds all that is left or a round no longer lowers the number of bins. No task
-holds more than `bins_per_task` bins, and a bin holds at most `capacity` pieces.
+fewer tasks, until one task holds all that is left. No task holds more than `bins_per_task` bins, and a bin
+holds at most `capacity` pieces.
 
-Tokenization splits at ASCII white space first, which the tokenizer's own split never crosses, and keeps
-what it found for a word. Defined results: null and empty texts are the end token alone; equal rows are
+Best-fit leaves a task at most one bin that is half full or less, and no two of its bins fit together. So once a
+round of several tasks saves next to nothing, only those few small bins can still save one, each by joining
+another small bin or one with room: all small bins and as many of the roomiest others go on, which is
+all that any later round could use, and the rest is final.
+
+Tokenization splits at the tokenizer's special tokens and at ASCII white space first, which its own split never
+crosses, and keeps what it found for a word. Defined results: null and empty texts are the end token alone; equal rows are
 packed one by one; an empty table gives no rows; a null id is packed and stays null.
 """
 
@@ -34,6 +39,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CAPACITY = 4096
 END = 1
 CACHED_WORDS = 1_500_000  # of a worker, about 200 bytes each; fewer cost time alone
+STUCK = 0.98  # share of bins left from which a round of several tasks counts as having saved next to nothing
 _TRAIL = b".,;:!?&$%*#"
 _SMALL = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 
@@ -61,6 +67,9 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
+        # special tokens count as written, before any normal form; words that become equal to one by that do not
+        self.special = {t.content.encode(): k.to_bytes(4, "little") for k, t in self.inner.get_added_tokens_decoder().items()}
+        self.marks = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
         self.inner.encode_special_tokens = True
         # words of plain small letters need no normal form and no split, only the model
         self.letters = Tokenizer(self.inner.model)
@@ -100,11 +109,19 @@ class WordTokenizer:
             found = tokenizer.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)
             self.known.update(zip(words[k : k + 20_000], (array("I", e.ids).tobytes() for e in found)))
 
+    def _words(self, text: bytes) -> list[bytes]:
+        """Lower-cased words; a special token with a blank after it, which no word has."""
+        if self.marks is None or not self.marks.search(text):
+            return self._lower(text).split()
+        parts = self.marks.split(text)
+        return [w for k, part in enumerate(parts) for w in ([part + b" "] if k % 2 else self._lower(part).split())]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [self._lower(t).split() for t in texts]
+        split = list(map(self._words, texts))
         known = self.known
         if len(known) > self.limit:
             known.clear()
+        known.update((content + b" ", number) for content, number in self.special.items())
         missing = list(set().union(*split).difference(known))
         stems = list(map(self._stem, missing))
         rest = [w[len(s) :] for w, s in zip(missing, stems)]
@@ -214,28 +231,37 @@ def _unfold(batches):
 
 
 def pack(documents: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-         nearly_full: float = 0.97, bins_per_task: int = 20_000, max_rounds: int = 12, cached_words: int = CACHED_WORDS) -> DataFrame:
-    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset. Ids are integers."""
+         nearly_full: float = 0.97, bins_per_task: int = 20_000, cached_words: int = CACHED_WORDS) -> DataFrame:
+    """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    Ids are cast to long: one of another type that names no integer is packed under a null id or fails the
+    query, as the session's ANSI mode has it.
+    """
+    if bins_per_task < 8:
+        raise ValueError("a round needs 8 bins a task to come to an end")
     source = project(documents.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col)
     full_at = int(nearly_full * capacity)
     bins = cut(source.mapInArrow(lambda b: _first_round(b, tokenizer, capacity, 10 * bins_per_task, cached_words), _BIN))
     done = bins.where(F.col("load") >= full_at)
     rest = bins.where(F.col("load") < full_at)
-    left = rest.count()
-    for level in range(1, max_rounds):
-        if not left:
-            break
+    left, level = rest.count(), 0
+    while left:
+        level += 1
         tasks = -(-left // bins_per_task)
         packed = cut(rest.repartition(tasks).mapInArrow(lambda b, level=level: _next_round(b, capacity, level), _BIN))
-        now = packed.count()
-        if tasks == 1 or now > 0.98 * left:
-            done, left = done.unionByName(packed), 0
+        if tasks == 1:
+            done = done.unionByName(packed)
             break
-        done = done.unionByName(packed.where(F.col("load") >= full_at))
-        rest = packed.where(F.col("load") < full_at)
-        left = rest.count()
-    if left:
-        done = done.unionByName(rest)
+        goes_on = F.col("load") < full_at
+        now = packed.where(goes_on).count()
+        if now > STUCK * left:
+            small = F.col("load") <= capacity // 2
+            count = packed.where(small).count()  # one a task at most
+            place = F.struct("load", "sequence_id")
+            last = packed.where(goes_on & ~small).orderBy("load", "sequence_id").limit(count).agg(F.max(place)).first()[0]
+            goes_on = small | (place <= F.struct(F.lit(last[0]).cast("int"), F.lit(last[1]).cast("long"))) if last else small
+            now = packed.where(goes_on).count()
+        done, rest, left = done.unionByName(packed.where(~goes_on)), packed.where(goes_on), now
     return done.select("pieces", "sequence_id").mapInArrow(_unfold, _ROW).withColumnsRenamed({"doc_id": id_col})
 
 

@@ -9,7 +9,7 @@ long document lands where it belongs. Misspelt and inflected forms share n-gram
 
 After training the table and the softmax fold into one number for each row, which is what scoring reads.
 
-Defined results: null, empty and blank texts get the score of an empty passage, the softmax of its bias;
+Defined results: null, empty and blank texts get the score of an empty passage, the softmax of its bias; a null id is never held out;
 rows are scored one by one, so ties and repeated rows agree; an empty table gives no rows; without
 labelled rows of both classes every score is the share of label 1 (0 without any).
 """
@@ -265,4 +265,4 @@ def fold(column: str = "doc_id") -> Column:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     scored = score(documents, fit(documents, labels, learn=fold() != 0))
-    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
