@@ -18,6 +18,14 @@ def project(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), *more)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """`name`, lengthened until no frame has a column of that name."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def append(df: DataFrame, text_col: str, fields: list[T.StructField], compute: Callable[[Slice], list], only_true: str | None = None) -> DataFrame:
     """`df` with columns that `compute` derives from each slice of whole texts.
 

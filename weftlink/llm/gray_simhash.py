@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..session import cut, table
-from .frames import append, project, small
+from .frames import append, project, small, unused
 from .shingle_join import similar_groups
 from .textkernel import Slice
 
@@ -182,28 +182,31 @@ def _dealt(groups: DataFrame, hot_rows: int) -> DataFrame:
     return marked.withColumn("sub", F.explode(F.when(F.col("hot"), thirds).otherwise(F.array(F.lit(0).cast("long"))))).select("_bits", "_first", "scheme", "key", "sub")
 
 
-def near_duplicate_components(prints: DataFrame, *, id_col: str = "doc_id", max_bits: int = 2, hot_rows: int = 4096, tasks: int | None = None) -> DataFrame:
-    """`prints` (id, _bits) with component_id, the smallest id reachable over links of `max_bits` bits.
+def near_links(groups: DataFrame, max_bits: int = 2, hot_rows: int = 4096, task_rows: int = 100_000) -> DataFrame:
+    """(node, root): links that span the groups of codes of at most `max_bits` bits, from stored (_bits, _first), one row a code.
 
-    `max_bits` may be 0, 1 or 2, for which the dealing above is exact.
+    `max_bits` may be 0, 1 or 2, for which the dealing above is exact. Tasks follow the rows: about `task_rows`
+    dealt codes each, so that the memory of one does not grow with the input.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("max_bits must be 0, 1 or 2")
-    spark = prints.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    used = groups.where(F.col("_first").isNotNull())
+    cores = groups.sparkSession.sparkContext.defaultParallelism
+    tasks = max(min(cores, used.count()), -(-len(_BLOCKS) * used.count() // task_rows), 1)
+    return _dealt(used, hot_rows).repartition(tasks, "scheme", "key", "sub").mapInPandas(lambda batches: _local_links(batches, max_bits), "node long, root long")
+
+
+def near_duplicate_components(prints: DataFrame, *, id_col: str = "doc_id", max_bits: int = 2, hot_rows: int = 4096, task_rows: int = 100_000) -> DataFrame:
+    """`prints` (id, _bits) with component_id, the smallest id reachable over links of `max_bits` bits."""
     groups = cut(prints.groupBy("_bits").agg(F.min(id_col).alias("_first")))
-    links = (
-        _dealt(groups.where(F.col("_first").isNotNull()), hot_rows)
-        .repartition(tasks, "scheme", "key", "sub")
-        .mapInPandas(lambda batches: _local_links(batches, max_bits), "node long, root long")
-    )
+    links = near_links(groups, max_bits, hot_rows, task_rows)
     roots = connected_components(links, "node", "root").withColumnsRenamed({"node": "_first"})
     named = groups.join(roots, "_first", "left").select("_bits", F.coalesce("component", "_first").alias("component_id"))
     return prints.join(named, "_bits", "left")
 
 
 def _local_links(batches, max_bits: int):
-    got = [b for b in batches if len(b)]
+    got = [b[["_bits", "_first"]] for b in batches if len(b)]
     if not got:
         return
     every = pd.concat(got, ignore_index=True).drop_duplicates("_bits")
@@ -214,17 +217,19 @@ def _local_links(batches, max_bits: int):
 
 
 def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2, percent: int | None = None) -> DataFrame:
-    """Documents that have the smallest id of their component, with their own columns.
+    """Documents that have the smallest id of their component, with their own columns; rows with a null id stay.
 
-    With `percent`, documents link at that Jaccard similarity of their shingle sets, whatever their bits:
-    the index proposes pairs, `similar_groups` verifies them on whole texts and finds the pairs that bits miss.
+    With `percent`, documents link at that Jaccard similarity of their shingle sets, whatever their bits: the
+    index proposes pairs from the sets' fingerprints, `similar_groups` verifies them on whole texts and finds the pairs
+    that bits miss. Of rows that repeat a kept id all stay.
     """
-    prints = cut(fingerprints(documents, id_col=id_col, text_col=text_col, words=words))
-    found = near_duplicate_components(prints, id_col=id_col, max_bits=max_bits)
-    if percent is not None:
-        found = similar_groups(documents, cut(found), id_col=id_col, text_col=text_col, words=words, percent=percent)
-    drop = cut(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_drop")).distinct())
-    return documents.join(small(drop), F.col(id_col) == F.col("_drop"), "left_anti")
+    if percent is None:
+        found = near_duplicate_components(cut(fingerprints(documents, id_col=id_col, text_col=text_col, words=words)), id_col=id_col, max_bits=max_bits)
+    else:
+        found = similar_groups(documents, lambda codes: near_links(cut(codes.groupBy("_bits").agg(F.min("_first").alias("_first"))), max_bits), id_col=id_col, text_col=text_col, words=words, percent=percent)
+    mark = unused("_drop", documents)
+    drop = cut(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(mark)).distinct())
+    return documents.join(small(drop), F.col(id_col) == F.col(mark), "left_anti")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
