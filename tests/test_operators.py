@@ -14,8 +14,8 @@ from weftlink.functions import text as T
 from weftlink.operators import blocking, metrics, sampling, scoring, supervision, validate
 from weftlink.operators.components import connected_components
 from weftlink.operators.features import FEATURE_NAMES, extract
-from weftlink.operators.ivfpq import dense_channel, ivfpq_topk, lists, subspaces
-from weftlink.operators.retrieval import candidate_union, dense_topk, fill_dense, fill_sparse, gram_counts, query_counts, sparse_topk, tfidf_vocabulary, tfidf_weights
+from weftlink.operators.ivfpq import IvfPq, dense_channel, ivfpq_topk, lists, subspaces
+from weftlink.operators.retrieval import candidate_union, dense_topk, fill_dense, fill_sparse, gram_text, gram_vectors, lexical_weights, sparse_topk, tfidf_vocabulary
 
 
 # ---- text --------------------------------------------------------------------------------------------------
@@ -127,8 +127,8 @@ def test_dense_topk(spark, monkeypatch):
         for source, lo, hi in ((2, 0, 60), (3, 60, 100)):
             scores = [(-round(float(v @ t[k].astype(float)), 6), f"S{source}-{k - lo:04d}") for k in range(lo, hi)]
             want |= {(f"q{i:04d}", tid, source, r + 1) for r, (_, tid) in enumerate(sorted(scores)[:7])}
-    for rows in (4096, 8):
-        monkeypatch.setattr(R, "BLOCK_ROWS", rows)
+    for rows in ((4096, 1 << 15), (8, 16)):
+        monkeypatch.setattr(R, "DENSE_BLOCK", rows)
         got = dense_topk(side(spark, q, "q", "qid"), targets, 7).collect()
         assert {(r.qid, r.tid, r.source, r.dense_rank) for r in got} == want
     few = dense_topk(side(spark, q, "q", "qid"), targets.where("tid < 'S2-0003'"), 7)
@@ -154,7 +154,27 @@ def test_compressed_search(spark):
     assert dense_channel(queries, targets, 3, exact_limit=1000).count() == 512 * 3
 
 
-def test_sparse_channel_and_union(spark):
+def test_stored_index(spark, tmp_path, monkeypatch):
+    """Built once, opened again, with a hot cell that is split over blocks."""
+    import weftlink.operators.ivfpq as I
+
+    rng = np.random.default_rng(3)
+    vectors = np.concatenate([unit(rng, 400), unit(rng, 1).repeat(300, axis=0) + rng.normal(0, 0.02, (300, 16)).astype(np.float32)])
+    targets, queries = side(spark, vectors, "S2-", "tid", 2), side(spark, vectors[::10], "q", "qid")
+    options = dict(ivf_nlist=12, pq_m=16, train_rows=700)
+    whole = IvfPq.build(targets, **options, path=str(tmp_path / "index")).search(queries, 10, 6).collect()
+    again = IvfPq.open(spark, str(tmp_path / "index"))
+    assert again.codes.count() == 700 and again.codes.groupBy("cell").count().agg(F.max("count")).first()[0] >= 250
+    assert sorted(again.search(queries, 10, 6).collect()) == sorted(whole)
+    monkeypatch.setattr(I, "CELL_BLOCK", (7, 50))
+    assert sorted(again.search(queries, 10, 6).collect()) == sorted(whole)
+    exact = {(r.qid, r.tid) for r in dense_topk(queries, targets, 10).collect()}
+    assert len(exact & {(r.qid, r.tid) for r in whole}) / len(exact) >= 0.9
+
+
+def test_sparse_channel_and_union(spark, monkeypatch):
+    import weftlink.operators.retrieval as R
+
     texts = {"S2-a": "name red house", "S2-b": "name blue house", "S2-c": "zz", "S3-a": "name red horse", "S3-b": "other text here"}
     queries = {"q1": "name red house", "q2": "qq qq", "q3": ""}
     t = spark.createDataFrame([(k, int(k[1]), v) for k, v in texts.items()], "tid string, source int, lexical string")
@@ -175,13 +195,17 @@ def test_sparse_channel_and_union(spark):
             for tid, v in own.items():
                 a, b = vec(s), vec(v)
                 want[qid, tid] = round(sum(x * b.get(g, 0) for g, x in a.items()), 6)
-    vocabulary = tfidf_vocabulary(t)
-    qw, tw = tfidf_weights(query_counts(q, [2, 3]), vocabulary, "qid"), tfidf_weights(gram_counts(t, "tid"), vocabulary, "tid")
+    qw, tw = lexical_weights(q, t)
     got = {(r.qid, r.tid): (r.tfidf_score, r.tfidf_rank) for r in sparse_topk(qw, tw, 2).collect()}
     assert {k: v[0] for k, v in got.items()} == pytest.approx({k: v for k, v in want.items() if v > 0})
     assert got["q1", "S2-a"][1] == 1 and got["q1", "S2-b"][1] == 2
-    assert {k: v[0] for k, v in got.items()} == {(r.qid, r.tid): r.tfidf_score for r in sparse_topk(qw, tw, 2, block_rows=1).collect()}
-    assert tfidf_vocabulary(t, max_features=3).count() == 6
+    monkeypatch.setattr(R, "SPARSE_BLOCK", (1, 1))
+    assert {k: v[0] for k, v in got.items()} == {(r.qid, r.tid): r.tfidf_score for r in sparse_topk(qw, tw, 2).collect()}
+    vocabulary = tfidf_vocabulary(gram_vectors(t, "tid"), max_features=3)
+    assert vocabulary.count() == 6
+    assert {r.g for r in tfidf_vocabulary(gram_vectors(t, "tid")).select(gram_text(F.col("gram")).alias("g")).collect()} == {g for v in texts.values() for g in grams(v)}
+    bare = t.withColumn("lexical", F.lit("ab"))  # no text of a source has a trigram
+    assert sparse_topk(*lexical_weights(q, bare), 2).count() == 0 and sparse_topk(*lexical_weights(q.limit(0), t), 2).count() == 0
 
     rng = np.random.default_rng(1)
     qe = q.join(side(spark, unit(rng, 3), "x", "k").selectExpr("concat('q', int(substring(k, 2, 4)) + 1) as qid", "embedding"), "qid")
@@ -192,6 +216,40 @@ def test_sparse_channel_and_union(spark):
     assert len(full) == len({(r.qid, r.tid) for r in full}) and {tuple(r.channels) for r in full} <= {("dense",), ("tfidf",), ("dense", "tfidf")}
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_sparse_search_equals_plain_products(seed):
+    """Frequent and rare grams, ties, and rows without a common gram."""
+    import pyarrow as pa
+
+    from weftlink.operators.retrieval import _sparse_search
+
+    rng = np.random.default_rng(seed)
+    make = lambda n: [(g := np.unique(np.concatenate([np.flatnonzero(rng.random(5) < 0.8), rng.integers(5, 400, rng.integers(0, 12))])).astype(np.int64), rng.random(len(g)) + 0.1) for _ in range(n)]
+    left, right = make(40), make(90) + [(np.array([10_000]), np.array([1.0]))]
+    right[7] = right[3]
+    table = lambda rows, key: pa.table({key: [f"{key}{k:03d}" for k in range(len(rows))], "source": pa.array([2] * len(rows), pa.int32()), "grams": [g.tolist() for g, _ in rows], "weights": [w.tolist() for _, w in rows]})
+    found = _sparse_search(table(left, "qid"), table(right, "tid"), 5, "s")
+    got = set(zip(found["qid"].to_pylist(), found["tid"].to_pylist(), found["s"].to_pylist()))
+    want = set()
+    for i, (g, w) in enumerate(left):
+        scores = [(-round(float(sum(x * v[list(h).index(a)] for a, x in zip(g, w) if a in h)), 6), j) for j, (h, v) in enumerate(right)]
+        want |= {(f"qid{i:03d}", f"tid{j:03d}", -s) for s, j in sorted(scores)[:5] if s < 0}
+    assert {(a, b) for a, b, _ in got} == {(a, b) for a, b, _ in want} and sorted(s for *_, s in got) == pytest.approx(sorted(s for *_, s in want))
+
+
+def test_blocking_is_exact_for_frequent_tokens(spark):
+    """A token that 60 of 64 targets hold still ranks them; one that all hold weighs nothing."""
+    t = spark.createDataFrame([(f"t{k:03d}", 2, ["all", *(["most"] if k < 60 else []), f"own{k % 10}"]) for k in range(64)], "tid string, source int, tokens array<string>")
+    q = spark.createDataFrame([("a", ["all", "most"]), ("b", ["all", ""]), ("c", ["own3", "most", "own3"]), ("d", [])], "qid string, tokens array<string>")
+    got = {}
+    for r in blocking.token_blocking(q, t, 4).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append((r.tid, r.weight))
+    most, own = round(math.log(64 / 60), 6), [k for k in range(64) if k % 10 == 3]
+    assert got == {"a": [(f"t{k:03d}", most) for k in range(4)], "c": [(f"t{k:03d}", pytest.approx(math.log(64 / 60) + math.log(64 / len(own)), abs=2e-6)) for k in own[:4]]}
+    names = blocking.exact_name_blocking(spark.createDataFrame([("a", "x"), ("b", "")], "qid string, name string"), spark.createDataFrame([(f"t{k}", 2, "x" if k % 2 else "") for k in range(9)], "tid string, source int, name string"), 3)
+    assert [(r.qid, r.tid, r.rank) for r in names.orderBy("rank").collect()] == [("a", "t1", 1), ("a", "t3", 2), ("a", "t5", 3)]
+
+
 # ---- features, supervision, scoring ------------------------------------------------------------------------
 
 

@@ -1,13 +1,17 @@
+import hashlib
 import json
 import subprocess
 import sys
+import zipfile
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from weftlink import cli
 from weftlink.config import Config, resolve
-from weftlink.plans.cache import StageCache, atomic_file
+from weftlink.models import Encoder, check_fit, encode, hash_encoder
+from weftlink.plans.cache import StageCache, key_text, whole_file
 from weftlink.plans.explorer import snapshot
 from weftlink.plans.linkage import Linkage
 from weftlink.plans.registry import ORACLE_SQL, QUERIES
@@ -20,7 +24,7 @@ from weftlink.streaming.incremental import match_batch, match_stream
 def trained(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("fixture")
     write_fixture(spark, str(root / "data"))
-    config = Config(data_dir=str(root / "data"), output_dir=str(root / "train"), train_percent=100.0, top_k_dense=8, top_k_tfidf=8, threshold_grid_size=5)
+    config = Config(data_dir=str(root / "data"), output_dir=str(root / "train"), train_percent=100.0, top_k_dense=8, top_k_tfidf=8, threshold_grid_size=5, shard_rows=23)
     run = Linkage(spark, config)
     return root, run, run.all()
 
@@ -41,15 +45,27 @@ def test_end_to_end(spark, trained):
     assert len(lists) == 100 and sum(len(x.split(",")) for x in lists.values() if x) == pairs.count()
 
 
-def test_stages_are_kept_and_repaired(trained):
+def test_shards_are_kept_and_repaired_one_by_one(spark, trained):
     root, run, _ = trained
-    manifest = root / "train/embed.manifest.json"
-    before = manifest.stat().st_mtime_ns
+    record = root / "train/_commits/embed"
+    before, folder = record.stat().st_mtime_ns, root / "train/embed"
+    stamps = {p: p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+    rows = lambda: sorted((r.id, tuple(r.embedding), r.shard) for r in run._embeddings().collect())
+    want = rows()
+    assert len({p.parent for p in stamps}) > 10
     run.embed()
-    assert manifest.stat().st_mtime_ns == before
-    next((root / "train/embed").glob("part-*")).write_bytes(b"damaged")
+    assert record.stat().st_mtime_ns == before
+    hurt, gone = sorted(stamps)[0], sorted(stamps)[-1]
+    hurt.write_bytes(b"damaged")
+    gone.unlink()
     run.embed()
-    assert manifest.stat().st_mtime_ns != before
+    after = {p: p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+    assert rows() == want and json.loads(record.read_text())["repaired"] == sorted({hurt.parent.name, gone.parent.name})
+    assert all(after[p] == t for p, t in stamps.items() if p.parent not in (hurt.parent, gone.parent))
+    stamp = (root / "train/_commits/retrieve").stat().st_mtime_ns
+    run.retrieve()  # made from the same key, so it stands
+    assert (root / "train/_commits/retrieve").stat().st_mtime_ns == stamp
+    assert run.cache.report()["prepare"]["driver_heap_mb"] > 0
 
 
 def test_unseen_mode_and_changed_model(spark, trained):
@@ -59,37 +75,64 @@ def test_unseen_mode_and_changed_model(spark, trained):
     assert fresh.all() == {"status": "PASS", "source1_rows": 100, "mode": "test"}
     matches = {r.qid: r.ids for r in read_lists(spark, str(root / "test/predict/matching_results"), HEADERS["matching_results"]).collect()}
     assert any("," in x for x in matches.values()) and any(x == "" for x in matches.values())
-    assert fresh.package(str(root / "package.zip"))
+    entries = fresh.package(str(root / "package.zip"))
+    with zipfile.ZipFile(root / "package.zip") as archive:
+        assert archive.testzip() is None and set(archive.namelist()) == {*entries, "contents.txt"}
+        assert hashlib.sha256(archive.read("policy.json")).hexdigest() == entries["policy.json"]
+    assert {"models/fixture.json", "config.json", "runtime.json", "sources/weftlink/cli.py"} <= set(entries)
+    with pytest.raises(ValueError, match="dimension"):
+        Linkage(spark, config, policy_dir=str(root / "train/calibrate"), encoder=hash_encoder(32))._embeddings()
     model = root / "train/train/fixture.json"
     model.write_text('{"fixture": "other"}')
     with pytest.raises(ValueError, match="model changed"):
         Linkage(spark, Config(**{**config.dump(), "output_dir": str(root / "test2")}), policy_dir=str(root / "train/calibrate")).all()
 
 
-def test_cache(tmp_path):
-    cache = StageCache(str(tmp_path))
+def test_cache(spark, tmp_path):
+    cache = StageCache(spark, str(tmp_path))
     runs = []
 
     def work(path):
-        path.mkdir(exist_ok=True)
-        (path / "x").write_text("1")
-        runs.append(1)
+        cache.files.write(f"{path}/x", b"1")
+        runs.append(path)
 
     for config in ({"a": 1}, {"a": 1}, {"a": 2}):
-        cache.run(config, "s", [], work)
-    assert len(runs) == 2
+        cache.run("s", config, [], work)
+    assert len(runs) == 2 and (tmp_path / "s" / "x").read_bytes() == b"1"
     with pytest.raises(FileNotFoundError):
-        cache.run({}, "t", ["missing"], work)
-    with pytest.raises(RuntimeError), atomic_file(tmp_path / "s" / "x") as stream:
-        stream.write("half")
+        cache.run("t", {}, ["missing"], work)
+    with pytest.raises(ZeroDivisionError):  # a stage that fails leaves the one before
+        cache.run("s", {"a": 3}, [], lambda path: 1 / 0)
+    assert cache.damaged("s", cache.key("s", {"a": 2}, [])) == []
+    with pytest.raises(RuntimeError), whole_file(str(tmp_path / "one")) as stream:
+        stream.write(b"half")
         raise RuntimeError
-    assert (tmp_path / "s" / "x").read_text() == "1"
+    assert [p.name for p in tmp_path.iterdir() if p.name.startswith("one")] == []
+    assert key_text("s", {"b": 1, "a": "x"}, {"d": []}) == "stage s\nset a 'x'\nset b 1\nfrom d []"
+
+
+def test_models_are_pluggable(spark):
+    lengths = Encoder({"kind": "lengths", "dimension": 2}, lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]))
+    df = spark.createDataFrame([("a", "xyz"), ("b", None)], "id string, raw string")
+    assert {r.id: r.embedding for r in encode(df, lengths, "id").collect()} == {"a": [3.0, 1.0], "b": [0.0, 1.0]}
+    with pytest.raises(Exception, match="dimension 3"):
+        encode(df, Encoder({"dimension": 3}, lengths.load), "id").collect()
+    check_fit({"kind": "a", "note": 1}, {"kind": "a"}, "same")
+    for other in ({"kind": "b"}, {"kind": "a", "pooling": "mean"}, {"kind": "a", "max_length": 64}):
+        with pytest.raises(ValueError):
+            check_fit({"kind": "a"}, other, "other")
 
 
 def test_tsv(spark, tmp_path):
     path = tmp_path / "a.tsv"
     path.write_bytes("﻿entity_id\tbusiness_name\tbusiness_address\tcountry\r\nS1-1\t\"a \"\"b\"\"\nc\"\t\tNA\r\n".encode())
     assert [tuple(r) for r in read_tsv(spark, str(path)).collect()] == [("S1-1", 'a "b"\nc', "", "NA")]
+    for bad in ("S1-1\n", "S1-1\ta\tb\n", "S1-1\tx\n\n S1-2\n"):
+        path.write_text("source1_entity_id\tmatched_entity_ids\n" + bad)
+        with pytest.raises(ValueError, match="two fields"):
+            read_lists(spark, str(path), HEADERS["matching_results"])
+    path.write_text("source1_entity_id\tmatched_entity_ids\nS1-1\t\nS1-2\tS2-1,S3-1\n")
+    assert [tuple(r) for r in read_lists(spark, str(path), HEADERS["matching_results"]).collect()] == [("S1-1", ""), ("S1-2", "S2-1,S3-1")]
     path.write_text("entity_id\tcountry\n")
     with pytest.raises(ValueError):
         read_tsv(spark, str(path))

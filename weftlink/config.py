@@ -22,6 +22,7 @@ class Config:
     pq_m: int = 32
     nprobe: int = 32
     index_train_rows: int = 200_000
+    shard_rows: int = 100_000
     hard_negatives: int = 5
     trees: int = 400
     tree_depth: int = 6
@@ -38,7 +39,7 @@ class Config:
             value = getattr(self, name)
             if value is not None and not 0 < value <= 100:
                 raise ValueError(f"{name} must lie in (0, 100]")
-        for name in ("top_k_dense", "top_k_tfidf", "tfidf_max_features", "exact_limit", "ivf_nlist", "pq_m", "nprobe", "index_train_rows", "hard_negatives", "trees", "tree_depth", "threshold_grid_size"):
+        for name in ("top_k_dense", "top_k_tfidf", "tfidf_max_features", "exact_limit", "ivf_nlist", "pq_m", "nprobe", "index_train_rows", "shard_rows", "hard_negatives", "trees", "tree_depth", "threshold_grid_size"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
 

@@ -6,12 +6,17 @@ matching-block ratios, which it lacks.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import unicodedata
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,27 +181,31 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-def _escaped(text: Column) -> Column:
-    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for char, escape in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
-        out = F.replace(out, F.lit(char), F.lit(escape))
-    return out
+@lru_cache(maxsize=1 << 20)
+def _signed_bucket(gram: str, dimension: int) -> tuple[int, int]:
+    """Bucket and sign of a gram, from the SHA-256 of its JSON form; `dimension` divides 2^16."""
+    key = int.from_bytes(hashlib.sha256(json.dumps(gram, ensure_ascii=False).encode("utf-8", "surrogatepass")).digest()[6:8], "big")
+    return key % dimension, 1 if key & 256 else -1
 
 
-def signed_buckets(normalized: Column, dimension: int = 64) -> Column:
-    """For each trigram its bucket, from 1 on, with a sign; both come from the SHA-256 of its JSON form.
-
-    A text shorter than a trigram, even an empty one, is one gram. `dimension` divides 2^16.
-    """
-    grams = F.when(F.length(normalized) >= 3, char_grams(normalized)).otherwise(F.array(normalized))
-    low = F.transform(grams, lambda g: F.conv(F.substring(F.sha2(F.concat(F.lit('"'), _escaped(g), F.lit('"')), 256), 13, 4), 16, 10).cast("int"))
-    return F.transform(low, lambda k: F.when(k.bitwiseAND(256) > 0, k.bitwiseAND(dimension - 1) + 1).otherwise(-(k.bitwiseAND(dimension - 1) + 1)))
+def hash_vector(text: str | None, dimension: int = 64) -> np.ndarray:
+    """Signed trigram counts of a text by bucket, of unit length. A text shorter than a trigram, even an empty one, is one gram."""
+    text = text or ""
+    out = np.zeros(dimension)
+    for gram, n in Counter(map("".join, zip(text, text[1:], text[2:])) if len(text) > 2 else [text]).items():
+        bucket, sign = _signed_bucket(gram, dimension)
+        out[bucket] += sign * n
+    return (out / max(float(np.sqrt(out @ out)), 1e-9)).astype(np.float32)
 
 
 def hash_vectors(rows, id_col: str, normalized: str, dimension: int = 64):
-    """(id, embedding): `signed_buckets` summed by bucket and normalised, without Python."""
-    signed = rows.select(id_col, F.explode(signed_buckets(F.col(normalized), dimension)).alias("s"))
-    counts = signed.groupBy(id_col, (F.abs("s") - 1).alias("bucket")).agg(F.sum(F.signum("s")).cast("double").alias("n"))
-    gathered = counts.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    value = lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0)) / F.greatest("norm", F.lit(1e-9))
-    return gathered.select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: value(k).cast("float")).alias("embedding"))
+    """(id, embedding) of every text. A worker hashes each distinct trigram once, where an exploded plan would hash and shuffle every occurrence."""
+    base = rows.select(id_col, normalized)
+    schema = T.StructType([base.schema[id_col], T.StructField("embedding", T.ArrayType(T.FloatType()))])
+
+    def run(batches):
+        for batch in batches:
+            found = [hash_vector(t, dimension) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32()))], names=[id_col, "embedding"])
+
+    return base.mapInArrow(run, schema)

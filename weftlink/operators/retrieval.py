@@ -1,40 +1,27 @@
 """Top-k similarity joins and the candidate union.
 
-Queries are a stated set; they travel in blocks of bounded bytes, each of which meets every target in one narrow pass
-that keeps k per query and task. A window over those survivors gives the global ranks. Ties go to the
-smaller target id, on scores rounded to `DIGITS`, so that the order of sums cannot change a result.
+Queries and targets meet block by block (`blocks.block_join`): a task holds one block of each and keeps k per query. A
+window over those survivors gives the global ranks. Ties go to the smaller target id, on scores rounded to `DIGITS`, so
+that the order of sums cannot change a result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.text import char_grams
 from ..session import cut, spread
+from .blocks import block_join
 
 DIGITS = 6
-BLOCK_ROWS = 4096
-BLOCK_CELLS = 1 << 21  # scores that a task holds at once
-DENSE_CELLS = 1 << 24  # of a block of queries over its grams
-MATRIX_CELLS = 1 << 22  # of some targets over those grams
-
-
-def _blocks(queries: DataFrame, id_col: str, rows: int) -> Iterator[DataFrame]:
-    """The query set in blocks of about `rows` rows, by a hash of the id. One block needs no second pass."""
-    count = queries.count()
-    parts = -(-count // rows)
-    if parts <= 1:
-        yield queries
-        return
-    kept = cut(queries.withColumn("_block", F.pmod(F.xxhash64(id_col), F.lit(parts))))
-    for k in range(parts):
-        yield kept.where(F.col("_block") == k).drop("_block")
+DENSE_BLOCK = (4096, 1 << 15)  # rows of queries and of targets that meet in a task
+SPARSE_BLOCK = (2048, 4096)
+TILE = 1 << 21  # scores that a task holds at once
+_LONG = T.LongType()
 
 
 def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,12 +37,36 @@ def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[place < k], column[place < k]
 
 
-def _ranked(found: DataFrame, k: int, score: str, rank: str) -> DataFrame:
+def ranked(found: DataFrame, k: int, score: str, rank: str) -> DataFrame:
     order = Window.partitionBy("qid", "source").orderBy(F.desc(score), "tid")
     return found.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
-_FOUND = "qid {q}, tid {t}, source int, {score} double"
+def found_schema(queries: DataFrame, targets: DataFrame, score: str) -> T.StructType:
+    return T.StructType([T.StructField("qid", queries.schema["qid"].dataType), T.StructField("tid", targets.schema["tid"].dataType), T.StructField("source", T.IntegerType()), T.StructField(score, T.DoubleType())])
+
+
+def by_id(table: pa.Table, name: str) -> pa.Table:
+    return table.take(pa.array(np.argsort(np.array(table[name].to_pylist(), object), kind="stable")))
+
+
+def matrix(table: pa.Table, name: str) -> np.ndarray:
+    """A column of equally long vectors."""
+    column = table[name].combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
+
+
+def gathered(q: pa.Table, t: pa.Table, score: str, parts: list[tuple]) -> dict:
+    """Columns from (query rows, target rows, scores)."""
+    rows, places, scores = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, int) for k in range(3))
+    take = lambda table, name, at: table[name].combine_chunks().take(pa.array(at, pa.int64()))
+    return {"qid": take(q, "qid", rows), "tid": take(t, "tid", places), "source": take(t, "source", places), score: pa.array(scores, pa.float64())}
+
+
+def per_source(queries: DataFrame, targets: DataFrame) -> DataFrame:
+    """Queries once for each source that has targets; sources are few."""
+    sources = [r[0] for r in targets.select(F.col("source").cast("int")).distinct().collect()]
+    return queries.withColumn("source", F.explode(F.array(*[F.lit(s) for s in sorted(sources)]).cast("array<int>")))
 
 
 def dense_topk(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
@@ -64,136 +75,166 @@ def dense_topk(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     queries (qid, embedding), targets (tid, source, embedding). Exact; negative scores count. A null vector
     takes no part.
     """
-    types = {"q": queries.schema["qid"].dataType.simpleString(), "t": targets.schema["tid"].dataType.simpleString(), "score": "dense_score"}
-    every = None
-    use = spread(targets.select("tid", F.col("source").cast("int"), "embedding").where("embedding is not null"))
-    for block in _blocks(queries.select("qid", "embedding").where("embedding is not null"), "qid", BLOCK_ROWS):
-        local = block.toPandas()
-        shared = queries.sparkSession.sparkContext.broadcast((local["qid"].tolist(), np.array(local["embedding"].tolist(), float)))
-
-        def search(batches, shared=shared):
-            ids, vectors = shared.value
-            if not len(ids):
-                return
-            names, step = np.array(ids, object), 4096
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                column = batch.column(2)
-                matrix = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
-                tids, sources = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
-                for source in np.unique(sources):
-                    at = np.flatnonzero(sources == source)
-                    at = at[np.argsort(tids[at], kind="stable")]
-                    for lo in range(0, len(at), step):
-                        part = at[lo : lo + step]
-                        rows = max(1, BLOCK_CELLS // len(part))
-                        for first in range(0, len(ids), rows):
-                            scores = np.round(vectors[first : first + rows] @ matrix[part].T, DIGITS)
-                            row, place = _best(scores, k)
-                            yield pa.RecordBatch.from_pydict({
-                                "qid": pa.array(names[first + row].tolist()), "tid": pa.array(tids[part[place]].tolist()),
-                                "source": pa.array(np.full(len(row), source, np.int32)), "dense_score": pa.array(scores[row, place]),
-                            })
-
-        found = use.mapInArrow(search, _FOUND.format(**types))
-        every = found if every is None else every.unionByName(found)
-    return _ranked(every, k, "dense_score", "dense_rank")
-
-
-def gram_counts(texts: DataFrame, id_col: str, text_col: str = "lexical") -> DataFrame:
-    """(id, source, gram, tf) of lower-cased character trigrams."""
-    return texts.select(id_col, "source", F.explode(char_grams(F.lower(text_col))).alias("gram")).groupBy(id_col, "source", "gram").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def tfidf_vocabulary(targets: DataFrame, text_col: str = "lexical", max_features: int = 500_000, counts: DataFrame | None = None) -> DataFrame:
-    """(source, gram, idf) fitted on the targets of each source: ln((1 + n) / (1 + df)) + 1.
-
-    The `max_features` grams with the largest total count stay; of equal ones the smaller gram. `counts` are
-    the targets' trigram counts where they are at hand.
+    use = targets.select("tid", F.col("source").cast("int"), "embedding").where("embedding is not null")
+    asked = per_source(queries.select("qid", "embedding").where("embedding is not null"), use)
+
+    def search(q: pa.Table, t: pa.Table) -> dict:
+        t = by_id(t, "tid")
+        left, right, parts = matrix(q, "embedding"), matrix(t, "embedding").T, []
+        step = max(1, TILE // t.num_rows)
+        for first in range(0, q.num_rows, step):
+            scores = np.round(left[first : first + step] @ right, DIGITS)
+            row, place = _best(scores, k)
+            parts.append((first + row, place, scores[row, place]))
+        return gathered(q, t, "dense_score", parts)
+
+    found = block_join(asked, use, ["source"], search, found_schema(queries, targets, "dense_score"), query_rows=DENSE_BLOCK[0], target_rows=DENSE_BLOCK[1])
+    return ranked(found, k, "dense_score", "dense_rank")
+
+
+# ---- character trigrams ------------------------------------------------------------------------------------
+
+
+def gram_vectors(texts: DataFrame, id_col: str, text_col: str = "lexical") -> DataFrame:
+    """`texts` without the text: its distinct lower-cased character trigrams in rising order, and how often each occurs.
+
+    A trigram is three code points of 21 bits in a long, so its order is that of the characters.
     """
-    sizes = targets.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    counts = gram_counts(targets, "tid", text_col) if counts is None else counts
-    grams = counts.groupBy("source", "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    best = grams.withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("total"), "gram"))).where(F.col("_r") <= max_features)
-    # one row for each source
-    return best.join(F.broadcast(sizes), "source").select("source", "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    base = texts.select(*[c for c in texts.columns if c != text_col], F.lower(text_col).alias("_text"))
+    schema = T.StructType([*base.schema.fields[:-1], T.StructField("grams", T.ArrayType(_LONG)), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
+    arrow = to_arrow_schema(schema)
 
+    def run(batches):
+        for batch in batches:
+            grams, counts = [], []
+            for text in batch.column(batch.num_columns - 1).to_pylist():
+                c = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+                found, n = np.unique(c[:-2] << 42 | c[1:-1] << 21 | c[2:], return_counts=True) if len(c) > 2 else (c[:0], c[:0])
+                grams.append(found)
+                counts.append(n.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(grams, arrow.field("grams").type), pa.array(counts, arrow.field("tfs").type)], schema=arrow)
 
-def tfidf_weights(counts: DataFrame, vocabulary: DataFrame, id_col: str) -> DataFrame:
-    """(id, source, gram, weight): tf * idf, each row of unit length; grams outside the vocabulary are dropped first."""
-    raw = counts.join(vocabulary, ["source", "gram"]).select(id_col, "source", "gram", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = raw.groupBy(id_col, "source").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norms, [id_col, "source"]).select(id_col, "source", "gram", (F.col("w") / F.col("norm")).alias("weight"))
+    return spread(base).mapInArrow(run, schema)
 
 
-def query_counts(queries: DataFrame, sources: list[int], text_col: str = "lexical") -> DataFrame:
-    """Trigram counts of queries, once for each target source."""
-    return gram_counts(queries.withColumn("source", F.explode(F.array(*[F.lit(s) for s in sources]))), "qid", text_col)
+def gram_text(gram):
+    """The three characters of a trigram column."""
+    points = [F.lpad(F.hex(F.shiftright(gram, n).bitwiseAND(F.lit((1 << 21) - 1))), 8, "0") for n in (42, 21, 0)]
+    return F.decode(F.unhex(F.concat(*points)), "UTF-32")
 
 
-def _vectors(weights: DataFrame, id_col: str) -> DataFrame:
-    gathered = weights.groupBy(id_col, "source").agg(F.sort_array(F.collect_list(F.struct("gram", "weight"))).alias("v"))
-    return gathered.select(id_col, F.col("source").cast("int"), F.col("v.gram").alias("grams"), F.col("v.weight").alias("weights"))
+def tfidf_vocabulary(vectors: DataFrame, max_features: int = 500_000) -> DataFrame:
+    """(source, gram, idf) fitted on the gram vectors of each target source: ln((1 + n) / (1 + df)) + 1.
 
+    The `max_features` grams with the largest total count stay; of equal ones the smaller gram. Texts without a gram
+    count among the n; where no text of a source has one, its vocabulary is empty and all its weights are.
+    """
+    sizes = vectors.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    posts = vectors.select("source", F.explode(F.arrays_zip("grams", "tfs")).alias("p")).groupBy("source", F.col("p.grams").alias("gram"))
+    grams = posts.agg(F.count(F.lit(1)).alias("df"), F.sum("p.tfs").alias("total"))
+    best = grams.withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("total"), "gram"))).where(F.col("_r") <= max_features)
+    # one row for each source
+    return best.join(F.broadcast(sizes), "source").select("source", "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
-def sparse_topk(query_weights: DataFrame, target_weights: DataFrame, k: int, block_rows: int = 2048) -> DataFrame:
-    """(qid, tid, source, tfidf_score, tfidf_rank): the k best cosines among pairs that share a gram.
 
-    Every text holds the label words, so nearly all pairs share one and a posting join would make them all.
-    Instead a block of queries becomes a dense matrix over its own grams, and targets are multiplied with it
-    task by task.
+def tfidf_weights(vectors: DataFrame, vocabulary: DataFrame, id_col: str) -> DataFrame:
+    """(id, source, grams, weights): tf * idf, each row of unit length; grams outside the vocabulary are dropped first.
+
+    The vocabulary has at most max_features rows a source, a bound that no corpus moves, and goes to every task.
     """
-    types = {"q": query_weights.schema["qid"].dataType.simpleString(), "t": target_weights.schema["tid"].dataType.simpleString(), "score": "tfidf_score"}
-    targets = spread(cut(_vectors(target_weights, "tid")))
-    every = None
-    for block in _blocks(_vectors(query_weights, "qid"), "qid", block_rows):
-        local = block.toPandas()
-        packed: dict[int, tuple] = {}
-        for source, rows in local.groupby("source"):
-            names = {g: i for i, g in enumerate(sorted({g for x in rows["grams"] for g in x}))}
-            where = [np.array([names[g] for g in x], np.int32) for x in rows["grams"]]
-            packed[int(source)] = (rows["qid"].tolist(), names, where, [np.array(x, float) for x in rows["weights"]])
-        shared = query_weights.sparkSession.sparkContext.broadcast(packed)
-
-        def search(frames, shared=shared):
-            for frame in frames:
-                for source, rows in frame.sort_values("tid", kind="stable").groupby("source"):
-                    if int(source) in shared.value:
-                        yield from _multiply(shared.value[int(source)], rows, int(source), k)
-
-        found = targets.mapInPandas(search, _FOUND.format(**types))
-        every = found if every is None else every.unionByName(found)
-    return _ranked(every, k, "tfidf_score", "tfidf_rank")
-
-
-def _multiply(packed: tuple, rows: pd.DataFrame, source: int, k: int) -> Iterator[pd.DataFrame]:
-    """Scores of a block of queries and a task's targets, some targets at a time.
-
-    Both sides become dense over the block's grams where the queries are short of neither rows nor grams; a block over a
-    very wide vocabulary adds up the rows of each query's own grams instead.
+    known = {}
+    for source, rows in vocabulary.select("source", "gram", "idf").toPandas().groupby("source"):
+        rows = rows.sort_values("gram")
+        known[int(source)] = (rows["gram"].to_numpy(), rows["idf"].to_numpy())
+    shared = vectors.sparkSession.sparkContext.broadcast(known)
+    base = vectors.select(id_col, F.col("source").cast("int").alias("source"), "grams", "tfs")
+    schema = T.StructType([base.schema[id_col], base.schema["source"], T.StructField("grams", T.ArrayType(_LONG)), T.StructField("weights", T.ArrayType(T.DoubleType()))])
+    arrow, none = to_arrow_schema(schema), (np.zeros(0, np.int64), np.zeros(0))
+
+    def run(batches):
+        for batch in batches:
+            kept, weights = [], []
+            for source, grams, tfs in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                names, idf = shared.value.get(source, none)
+                g = grams.values.to_numpy(zero_copy_only=False) if grams.is_valid else names[:0]
+                at = np.searchsorted(names, g)
+                use = at < len(names)
+                use[use] = names[at[use]] == g[use]
+                w = (tfs.values.to_numpy(zero_copy_only=False)[use] * idf[at[use]]) if len(g) else idf[:0]
+                kept.append(g[use])
+                weights.append(w / np.sqrt((w * w).sum()) if len(w) else w)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, arrow.field("grams").type), pa.array(weights, arrow.field("weights").type)], schema=arrow)
+
+    return base.mapInArrow(run, schema)
+
+
+def sparse_topk(query_weights: DataFrame, target_weights: DataFrame, k: int, score: str = "tfidf_score", rank: str = "tfidf_rank") -> DataFrame:
+    """(qid, tid, source, score, rank): the k largest inner products among pairs that share a gram.
+
+    Both sides are (id, source, grams, weights) with distinct grams and positive weights. Nearly all texts hold the label
+    words, so a posting join would make all pairs; here frequent grams of two blocks multiply as dense matrices, rare ones by
+    postings, and k per query leave the task.
     """
-    ids, names, where, weights = packed
-    queries = np.array(ids, object)
-    dense = len(ids) * len(names) <= DENSE_CELLS
-    left = np.zeros((len(ids), len(names))) if dense else None
-    for q, (at, w) in enumerate(zip(where, weights)) if dense else ():
-        left[q, at] = w
-    step = int(np.clip(MATRIX_CELLS // max(len(names), 1), 16, 512))
-    for lo in range(0, len(rows), step):
-        part = rows.iloc[lo : lo + step]
-        tids = part["tid"].to_numpy(object)
-        matrix = np.zeros((len(names), len(part)))
-        for i, (grams, values) in enumerate(zip(part["grams"], part["weights"])):
-            at = np.array([names.get(g, -1) for g in grams], np.int64)
-            matrix[at[at >= 0], i] = np.asarray(values, float)[at >= 0]
-        scores = left @ matrix if dense else np.stack([w @ matrix[at] for at, w in zip(where, weights)])
+    filled = F.size("grams") > 0
+    search = lambda q, t: _sparse_search(q, by_id(t, "tid"), k, score)
+    q, t = query_weights.where(filled), target_weights.where(filled)
+    found = block_join(q, t, ["source"], search, found_schema(query_weights, target_weights, score), query_rows=SPARSE_BLOCK[0], target_rows=SPARSE_BLOCK[1])
+    return ranked(found, k, score, rank)
+
+
+def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, gram and weight of each entry."""
+    grams, weights = table["grams"].combine_chunks(), table["weights"].combine_chunks()
+    flat = lambda c: c.flatten().to_numpy(zero_copy_only=False)
+    sizes = np.diff(grams.offsets.to_numpy())
+    return np.repeat(np.arange(len(grams)), sizes), flat(grams), flat(weights)
+
+
+def _sparse_search(q: pa.Table, t: pa.Table, k: int, score: str) -> dict:
+    nq, nt = q.num_rows, t.num_rows
+    sides = [_entries(q), _entries(t)]
+    common = np.intersect1d(sides[0][1], sides[1][1])
+    cut_to = []
+    for row, gram, weight in sides:
+        at = np.searchsorted(common, gram)
+        use = at < len(common)
+        use[use] = common[at[use]] == gram[use]
+        cut_to.append((row[use], at[use], weight[use]))
+    (qr, qg, qw), (tr, tg, tw) = cut_to
+    counts = [np.bincount(g, minlength=len(common)) for g in (qg, tg)]
+    often = counts[0] * counts[1].astype(float) > 0.01 * nq * nt  # cheaper by matrix than by postings
+    place = np.cumsum(often) - 1
+    wide = int(often.sum())
+    order = np.argsort(tg, kind="stable")
+    tr, tg, tw = tr[order], tg[order], tw[order]
+    first = np.searchsorted(tg, np.arange(len(common) + 1))
+    bounds = np.searchsorted(qr, np.arange(nq + 1))
+    step, parts, dense = max(1, TILE // nt), [], np.flatnonzero(often[tg])
+    for lo in range(0, nq, step):
+        hi = min(lo + step, nq)
+        scores = np.zeros((hi - lo, nt))
+        own = slice(bounds[lo], bounds[hi])
+        row, gram, weight = qr[own] - lo, qg[own], qw[own]
+        mine = often[gram]
+        for g in range(0, wide, width := max(256, TILE // max(hi - lo, nt))):
+            a, b = mine & (place[gram] >= g) & (place[gram] < g + width), dense[(place[tg[dense]] >= g) & (place[tg[dense]] < g + width)]
+            left, right = np.zeros((hi - lo, min(width, wide - g))), np.zeros((min(width, wide - g), nt))
+            left[row[a], place[gram[a]] - g] = weight[a]
+            right[place[tg[b]] - g, tr[b]] = tw[b]
+            scores += left @ right
+        rare = np.flatnonzero(~mine)
+        size = first[gram[rare] + 1] - first[gram[rare]]
+        for at in np.array_split(np.arange(len(rare)), max(1, -(-int(size.sum()) // (4 * TILE)))):  # entries that are met at once
+            n = size[at]
+            each = np.repeat(first[gram[rare[at]]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            cell = np.repeat(row[rare[at]], n) * nt + tr[each]
+            scores += np.bincount(cell, np.repeat(weight[rare[at]], n) * tw[each], scores.size).reshape(scores.shape)
         shares = scores > 0  # weights are positive, so a common gram gives a positive score
         scores = np.where(shares, np.round(scores, DIGITS), -1.0)
-        row, place = _best(scores, k)
-        real = shares[row, place]
-        row, place = row[real], place[real]
-        yield pd.DataFrame({"qid": queries[row], "tid": tids[place], "source": np.full(len(row), source, np.int32), "tfidf_score": scores[row, place]})
+        r, c = _best(scores, k)
+        real = shares[r, c]
+        parts.append((lo + r[real], c[real], scores[r[real], c[real]]))
+    return gathered(q, t, score, parts)
 
 
 def candidate_union(dense: DataFrame, sparse: DataFrame) -> DataFrame:
@@ -214,17 +255,38 @@ def fill_dense(pairs: DataFrame, queries: DataFrame, targets: DataFrame) -> Data
 def fill_sparse(pairs: DataFrame, query_weights: DataFrame, target_weights: DataFrame) -> DataFrame:
     """Exact cosine where the lexical channel did not find a pair; 0 without a common gram."""
     missing = pairs.where("tfidf_rank is null").select("qid", "tid", "source")
-    wide = missing.join(query_weights.select("qid", "source", "gram", F.col("weight").alias("a")), ["qid", "source"])
-    sums = wide.join(target_weights.select("tid", "source", "gram", F.col("weight").alias("b")), ["tid", "source", "gram"]).groupBy("qid", "tid").agg(F.round(F.sum(F.col("a") * F.col("b")), DIGITS).alias("_sparse"))
+    side = lambda df, key, g, w: df.select(key, "source", F.col("grams").alias(g), F.col("weights").alias(w))
+    wide = missing.join(side(query_weights, "qid", "a", "x"), ["qid", "source"]).join(side(target_weights, "tid", "b", "y"), ["tid", "source"]).select("qid", "tid", "a", "x", "b", "y")
+    schema = T.StructType([wide.schema["qid"], wide.schema["tid"], T.StructField("_sparse", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        for batch in batches:
+            sums = []
+            for row in zip(*(batch.column(c) for c in range(2, 6))):
+                a, x, b, y = (v.values.to_numpy(zero_copy_only=False) for v in row)
+                _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+                sums.append(round(float(x[i] @ y[j]), DIGITS))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sums, pa.float64())], schema=arrow)
+
+    sums = wide.mapInArrow(run, schema)
     return pairs.join(sums, ["qid", "tid"], "left").withColumn("tfidf_score", F.coalesce("tfidf_score", "_sparse", F.lit(0.0))).drop("_sparse")
 
 
-def retrieve(queries: DataFrame, targets: DataFrame, top_k_dense: int = 150, top_k_tfidf: int = 150, max_features: int = 500_000) -> DataFrame:
-    """Candidate pairs with both similarities. queries (qid, lexical, embedding), targets (tid, source, lexical, embedding)."""
-    sources = [r[0] for r in targets.select("source").distinct().orderBy("source").collect()]
-    counts = cut(gram_counts(targets, "tid"))
-    vocabulary = cut(tfidf_vocabulary(targets, max_features=max_features, counts=counts))
-    target_weights = cut(tfidf_weights(counts, vocabulary, "tid"))
-    query_weights = cut(tfidf_weights(query_counts(queries, sources), vocabulary, "qid"))
-    pairs = cut(candidate_union(dense_topk(queries, targets, top_k_dense), sparse_topk(query_weights, target_weights, top_k_tfidf)))
+def lexical_weights(queries: DataFrame, targets: DataFrame, max_features: int = 500_000) -> tuple[DataFrame, DataFrame]:
+    """Stored weights of queries (qid, lexical), once for each target source, and of targets (tid, source, lexical)."""
+    held = cut(gram_vectors(targets.select("tid", F.col("source").cast("int").alias("source"), "lexical"), "tid"))
+    vocabulary = cut(tfidf_vocabulary(held, max_features))
+    asked = per_source(gram_vectors(queries.select("qid", "lexical"), "qid"), held)
+    return cut(tfidf_weights(asked, vocabulary, "qid")), cut(tfidf_weights(held, vocabulary, "tid"))
+
+
+def retrieve(queries: DataFrame, targets: DataFrame, *, top_k_dense: int = 150, top_k_tfidf: int = 150, max_features: int = 500_000, dense=dense_topk) -> DataFrame:
+    """Candidate pairs of both channels with both similarities.
+
+    queries (qid, lexical, embedding), targets (tid, source, lexical, embedding); `dense` is the dense channel.
+    """
+    query_weights, target_weights = lexical_weights(queries, targets, max_features)
+    found = dense(queries.select("qid", "embedding"), targets.select("tid", "source", "embedding"), top_k_dense)
+    pairs = cut(candidate_union(found, sparse_topk(query_weights, target_weights, top_k_tfidf)))
     return fill_sparse(fill_dense(pairs, queries, targets), query_weights, target_weights)

@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_text, ratio
 from .features import FEATURE_NAMES
 
 
@@ -17,15 +16,6 @@ def fixture_tree_score() -> Column:
     return F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))
 
 
-def fixture_cross_score(query_text: str = "query_text", target_text: str = "target_text") -> Column:
-    """Sequence ratio of the normalized raw texts."""
-    @F.pandas_udf("double")
-    def score(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([ratio(normalize_text(x), normalize_text(y)) for x, y in zip(a, b)], dtype="float64")
-
-    return score(query_text, target_text)
-
-
 def fit_gbt(train: DataFrame, dev: DataFrame, *, trees: int = 400, depth: int = 6, rate: float = 0.05, patience: int = 30, bins: int = 256, seed: int = 42, step: int = 40):
     """Boosted trees cut to the round with the least dev log loss.
 
@@ -104,20 +94,38 @@ def entity_f(tp: Column, predicted: Column, positives: Column) -> Column:
 def evaluate_policies(scored: DataFrame, entities: DataFrame, truth: DataFrame, grid: DataFrame) -> DataFrame:
     """Per policy the sums over entities: f, tp, predicted, routed.
 
-    scored (qid, x, c, label); entities (qid) count even without pairs. The grid is a fixed parameter, not data.
+    scored (qid, x, c, label); entities (qid) count even without pairs. The grid is a fixed parameter, not data. Pairs
+    are gathered by entity, which has a bounded number of candidates; an entity is held against all policies at once
+    where it lies, and a task gives one row a policy.
     """
+    rows = grid.collect()
+    marks = [sorted({r[n] for r in rows}) for n in ("lower", "upper", "acceptance")]
+    place = [np.array([marks[k].index(r[n]) for r in rows]) for k, n in enumerate(("lower", "upper", "acceptance"))]
+    lower, upper, acceptance = map(np.array, marks)
+    numbers = [r["policy"] for r in rows]
     positives = entities.join(truth.groupBy("qid").agg(F.count(F.lit(1)).alias("positives")), "qid", "left").select("qid", F.coalesce("positives", F.lit(0)).alias("positives"))
-    accepted, routed = route(F.col("x"), F.col("c"), F.col("lower"), F.col("upper"), F.col("acceptance"))
-    wide = scored.join(entities.select("qid"), "qid").select("qid", "x", "c", "label").join(F.broadcast(grid))
-    by_pair = wide.select("policy", "qid", accepted.cast("int").alias("a"), (accepted & (F.col("label") == 1)).cast("int").alias("t"), routed.cast("int").alias("r"))
-    sums = by_pair.groupBy("policy", "qid").agg(F.sum("a").alias("predicted"), F.sum("t").alias("tp"), F.sum("r").alias("routed"))
-    with_pairs = sums.join(positives, "qid").groupBy("policy").agg(
-        F.sum(entity_f(F.col("tp"), F.col("predicted"), F.col("positives"))).alias("f"), F.sum("tp").alias("tp"), F.sum("predicted").alias("predicted"), F.sum("routed").alias("routed")
-    )
-    silent = positives.where("positives = 0").join(scored.select("qid").distinct(), "qid", "left_anti").agg(F.count(F.lit(1)).cast("double").alias("alone"))
-    return grid.join(with_pairs, "policy", "left").join(F.broadcast(silent)).select(
-        *grid.columns, (F.coalesce("f", F.lit(0.0)) + F.col("alone")).alias("f"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "predicted", "routed")]
-    )
+    own = scored.groupBy("qid").agg(*[F.collect_list(F.coalesce(F.col(n).cast("double"), F.lit(float("nan")))).alias(n) for n in ("x", "c", "label")])
+    ready = positives.join(own, "qid", "left").select("positives", "x", "c", "label")
+    kind = grid.schema["policy"].dataType.simpleString()
+
+    def run(frames):
+        sums = np.zeros((4, len(rows)))
+        for frame in frames:
+            for n, x, c, label in zip(frame["positives"], frame["x"], frame["c"], frame["label"]):
+                x, c, label = (np.zeros(0) if v is None else np.asarray(v, float) for v in (x, c, label))
+                above, routed = (x[:, None] > upper).astype(float), (x[:, None, None] >= lower[:, None]) & (x[:, None, None] <= upper)
+                taken = (c[:, None] >= acceptance).astype(float)
+                counts = []
+                for weight in (np.ones(len(x)), (label == 1).astype(float)):
+                    both = np.tensordot(routed * weight[:, None, None], taken, (0, 0))
+                    counts.append((weight @ above)[None, :, None] + both)
+                predicted, tp = (v[place[0], place[1], place[2]] for v in counts)
+                f = (predicted == 0).astype(float) if n == 0 else 1.25 * tp / (0.25 * n + predicted)
+                sums += np.stack([f, tp, predicted, routed.sum(axis=0)[place[0], place[1]]])
+        yield pd.DataFrame({"policy": numbers, "f": sums[0], "tp": sums[1].astype(np.int64), "predicted": sums[2].astype(np.int64), "routed": sums[3].astype(np.int64)})
+
+    parts = ready.mapInPandas(run, f"policy {kind}, f double, tp long, predicted long, routed long")
+    return grid.join(parts.groupBy("policy").agg(*[F.sum(n).alias(n) for n in ("f", "tp", "predicted", "routed")]), "policy").select(*grid.columns, "f", "tp", "predicted", "routed")
 
 
 def best_policy(evaluated: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from ..operators import validate
 from ..operators.sampling import top_per_group
 from ..session import cut
 from ..sources.tsv import RECORD_FIELDS, explode_truth, read_sources, read_truth
-from .cache import write_json
+from ..storage import Storage
 
 NEGATIVES, POOL = 4, 2000
 
@@ -79,5 +78,5 @@ def snapshot(sources: DataFrame, truth_lists: DataFrame, most: int, seed: int, s
 
 def export(spark: SparkSession, data_dir: str, output: str, most: int = 100, seed: int = 42, synthetic: bool = True) -> dict:
     found = snapshot(read_sources(spark, data_dir, "train"), read_truth(spark, data_dir), most, seed, synthetic)
-    write_json(Path(output), found)
+    Storage(spark).write_json(output, found)
     return found

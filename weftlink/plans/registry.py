@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import FIELDS, char_grams, hash_vectors, lexical, sequence_ratio, serialize, tokens, with_views
 from ..operators import blocking, features, metrics, sampling, scoring, supervision, validate
-from ..operators.ivfpq import dense_channel
-from ..operators.retrieval import candidate_union, dense_topk, fill_dense, fill_sparse, gram_counts, query_counts, sparse_topk, tfidf_vocabulary, tfidf_weights
+from ..operators.ivfpq import dense_channel, ivfpq_topk
+from ..operators.retrieval import dense_topk, gram_text, gram_vectors, lexical_weights, retrieve, sparse_topk, tfidf_vocabulary
 from ..session import cut, spread, table
 from ..sources.tsv import explode_truth, id_lists
 from . import explorer
@@ -92,6 +92,12 @@ SCORES = f"""{DENSE}, s0 AS (SELECT d.*, round((dense_score + 1) / 2, 7) AS x FR
   s AS (SELECT s0.*, round(x * x, 6) AS c, CASE WHEN EXISTS (SELECT 1 FROM g WHERE g.qid = s0.qid AND g.tid = s0.tid) THEN 1 ELSE 0 END AS label FROM s0)"""
 
 
+def _grams_sql(table: str, text: str, *keys: str) -> str:
+    """Rows (keys, gram) of all character trigrams. By position in a list of characters: substr counts from a text's start each time."""
+    k = ", ".join(keys)
+    return f"""SELECT {k}, gram FROM (SELECT {k}, c || lead(c) OVER w || lead(c, 2) OVER w AS gram FROM (SELECT {k}, unnest(cs) AS c, unnest(range(len(cs))) AS p FROM (SELECT {k}, regexp_extract_all({text}, '(?s).') AS cs FROM {table})) WINDOW w AS (PARTITION BY {k} ORDER BY p)) WHERE gram IS NOT NULL"""
+
+
 def _rank(expr: str, salt: str) -> str:
     return f"sha256('[{SEED}, \"{salt}\", \"' || {expr} || '\"]')"
 
@@ -205,7 +211,7 @@ def record_views(spark, sf_dir):
     return with_views(entities(spark, sf_dir)).select("entity_id", "raw", "normalized", "latin", lexical().alias("lexical"))
 
 
-@query(f"WITH {VIEWS} SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, length(normalized) - 1), lambda i: substr(normalized, i, 3))) AS gram FROM r WHERE length(normalized) >= 3) GROUP BY gram")
+@query(f"WITH {VIEWS} SELECT gram, count(*) AS n FROM ({_grams_sql('r', 'normalized', 'entity_id')}) GROUP BY gram")
 def char_trigrams(spark, sf_dir):
     return with_views(entities(spark, sf_dir)).select(F.explode(char_grams(F.col("normalized"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
@@ -213,7 +219,7 @@ def char_trigrams(spark, sf_dir):
 _NIBBLE = lambda p: f"(strpos('0123456789abcdef', substr(h, {p}, 1)) - 1)"
 
 
-@query(f"""WITH {VIEWS}, t AS (SELECT entity_id, unnest(CASE WHEN length(normalized) >= 3 THEN list_transform(range(1, length(normalized) - 1), lambda i: substr(normalized, i, 3)) ELSE [normalized] END) AS gram FROM r),
+@query(f"""WITH {VIEWS}, t AS ({_grams_sql('r', 'normalized', 'entity_id')} UNION ALL SELECT entity_id, normalized FROM r WHERE length(normalized) < 3),
  k AS (SELECT entity_id, sha256('"' || gram || '"') AS h FROM t), b AS (SELECT entity_id, CAST(({_NIBBLE(15)} % 4) * 16 + {_NIBBLE(16)} AS INTEGER) AS bucket, sum(CASE WHEN {_NIBBLE(14)} % 2 = 1 THEN 1 ELSE -1 END) AS n FROM k GROUP BY ALL)
 SELECT entity_id, bucket, round(CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY entity_id)) AS FLOAT) AS DOUBLE), 5) AS value FROM b WHERE n <> 0""")
 def hash_embedding(spark, sf_dir):
@@ -279,10 +285,34 @@ def dense_topk_query(spark, sf_dir):
 QUERIES["dense_topk"], ORACLE_SQL["dense_topk"] = QUERIES.pop("dense_topk_query"), ORACLE_SQL.pop("dense_topk_query")
 
 
-@query()
+@query(f"WITH {DENSE} SELECT qid, tid, source, dense_score, dense_rank FROM d")
 def dense_channel_search(spark, sf_dir):
-    """The production switch: exact up to a thousand targets in a source, compressed beyond. tests/ holds the recall."""
-    return dense_channel(*vector_sides(spark, sf_dir), K, exact_limit=1000, ivf_nlist=64, pq_m=32, nprobe=48, train_rows=20_000)
+    """The production switch with its own limit of 50,000 targets in a source, up to which it is exact."""
+    return dense_channel(*vector_sides(spark, sf_dir), K)
+
+
+COMPRESSED = dict(ivf_nlist=64, pq_m=32, nprobe=24, train_rows=20_000)
+
+
+@query()
+def compressed_search(spark, sf_dir):
+    """Cells and product quantisation over every target, whatever their number. tests/ and `compressed_recall` hold the recall."""
+    return _compressed(spark, sf_dir)
+
+
+def _compressed(spark, sf_dir):
+    """A codebook needs 256 vectors a source; the smallest tables have fewer, and there the exact search stands in."""
+    queries, targets = vector_sides(spark, sf_dir)
+    least = targets.groupBy("source").count().agg(F.min("count")).first()[0] or 0
+    return ivfpq_topk(queries, targets, K, **COMPRESSED) if least >= 256 else dense_topk(queries, targets, K)
+
+
+@query()
+def compressed_recall(spark, sf_dir):
+    """Of the exact ten best of each query and source, how many the compressed search finds among its own ten."""
+    exact, found = vector_pairs(spark, sf_dir).select("qid", "tid", "source"), _compressed(spark, sf_dir).select("qid", "tid", F.lit(1).alias("hit"))
+    both = exact.join(found, ["qid", "tid"], "left").groupBy("source").agg(F.count(F.lit(1)).alias("pairs"), F.count("hit").alias("found"))
+    return both.withColumn("recall", F.round(F.col("found") / F.col("pairs"), 6))
 
 
 @query(f"WITH {DENSE}, n AS (SELECT unnest([1, 5, 10]) AS k), w AS (SELECT n.k, g.qid, count(*) AS n, count(*) FILTER (d.dense_rank <= n.k) AS h FROM g CROSS JOIN n LEFT JOIN d ON d.qid = g.qid AND d.tid = g.tid GROUP BY ALL) SELECT CAST(k AS INTEGER) AS k, round(sum(h) / sum(n), 6) AS pair_recall, round(avg(CAST(h > 0 AS DOUBLE)), 6) AS any_recall, round(avg(CAST(h = n AS DOUBLE)), 6) AS all_recall FROM w GROUP BY k")
@@ -296,84 +326,102 @@ def _lexical_sides(spark, sf_dir):
     return viewed.where("source = 1").withColumnRenamed("entity_id", "qid").drop("source"), viewed.where("source > 1").withColumnRenamed("entity_id", "tid")
 
 
-_GRAMS = "unnest(list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)))"
-MAX_FEATURES = 3000
-TFIDF = f"""{VIEWS}, lx AS (SELECT entity_id AS id, source, lower(normalized || ' ' || latin) AS x FROM r),
- tg AS (SELECT id, source, gram, count(*) AS tf FROM (SELECT id, source, {_GRAMS} AS gram FROM lx WHERE source > 1) GROUP BY ALL),
+MAX_FEATURES = 500_000
+VOCABULARY = f"""{VIEWS}, lx AS MATERIALIZED (SELECT doc_id AS i, source, lower(normalized || ' ' || latin) AS x FROM r),
+ gr AS MATERIALIZED ({_grams_sql('lx', 'x', 'i', 'source')}),
+ tg AS MATERIALIZED (SELECT i, source, gram, count(*) AS tf FROM gr WHERE source > 1 GROUP BY ALL),
  dn AS (SELECT source, count(*) AS n FROM lx WHERE source > 1 GROUP BY source),
- vo AS (SELECT source, gram, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT source, gram, count(*) AS df, row_number() OVER (PARTITION BY source ORDER BY sum(tf) DESC, gram) AS i FROM tg GROUP BY source, gram) JOIN dn USING (source) WHERE i <= {MAX_FEATURES}),
- tw AS (SELECT id, source, gram, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id, source)) AS w FROM tg JOIN vo USING (source, gram)),
- qg AS (SELECT id, s.source, gram, count(*) AS tf FROM (SELECT id, {_GRAMS} AS gram FROM lx WHERE source = 1) CROSS JOIN (SELECT unnest([2, 3]) AS source) s GROUP BY ALL),
- qw AS (SELECT id, source, gram, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY id, source)) AS w FROM qg JOIN vo USING (source, gram)),
- sp0 AS (SELECT q.id AS qid, t.id AS tid, t.source, round(sum(q.w * t.w), 6) AS tfidf_score FROM qw q JOIN tw t USING (source, gram) GROUP BY ALL),
- sp AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY tfidf_score DESC, tid) AS INTEGER) AS tfidf_rank FROM sp0) WHERE tfidf_rank <= {K})"""
+ vo AS MATERIALIZED (SELECT source, gram, row_number() OVER () AS gid, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT source, gram, count(*) AS df, row_number() OVER (PARTITION BY source ORDER BY sum(tf) DESC, gram) AS k FROM tg GROUP BY source, gram) JOIN dn USING (source) WHERE k <= {MAX_FEATURES})"""
+#: All pairs of the documents' numbers, with a number for each gram of a source.
+TFIDF = f"""{VOCABULARY}, tw AS MATERIALIZED (SELECT i, gid, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY i)) AS w FROM tg JOIN vo USING (source, gram)),
+ qg AS (SELECT i, gram, count(*) AS tf FROM gr WHERE source = 1 GROUP BY ALL),
+ qw AS MATERIALIZED (SELECT i, gid, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY i, source)) AS w FROM qg JOIN vo USING (gram)),
+ sp1 AS MATERIALIZED (SELECT q.i AS qi, t.i AS ti, round(sum(q.w * t.w), 6) AS tfidf_score FROM qw q JOIN tw t USING (gid) GROUP BY ALL),
+ sp0 AS MATERIALIZED (SELECT 'S1-' || qi AS qid, 'S' || (1 + ti % 3) || '-' || ti AS tid, CAST(1 + ti % 3 AS INTEGER) AS source, tfidf_score FROM sp1),
+ sp AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY tfidf_score DESC, tid) AS INTEGER) AS tfidf_rank FROM sp0) WHERE tfidf_rank <= {K})"""
 
 
-@query(f"WITH {TFIDF} SELECT source, gram, round(idf, 6) AS idf FROM vo")
+@query(f"WITH {VOCABULARY} SELECT source, gram, round(idf, 6) AS idf FROM vo")
 def tfidf_idf(spark, sf_dir):
-    return tfidf_vocabulary(_lexical_sides(spark, sf_dir)[1], max_features=MAX_FEATURES).select("source", "gram", F.round("idf", 6).alias("idf"))
+    targets = _lexical_sides(spark, sf_dir)[1].select("tid", "source", "lexical")
+    return tfidf_vocabulary(gram_vectors(targets, "tid"), MAX_FEATURES).select("source", gram_text(F.col("gram")).alias("gram"), F.round("idf", 6).alias("idf"))
 
 
-def _sparse_weights(q, t):
-    counts = cut(gram_counts(t, "tid"))
-    vocabulary = cut(tfidf_vocabulary(t, max_features=MAX_FEATURES, counts=counts))
-    return tfidf_weights(query_counts(q, [2, 3]), vocabulary, "qid"), tfidf_weights(counts, vocabulary, "tid")
+def lexical_pairs(spark, sf_dir, sides=None):
+    return sparse_topk(*lexical_weights(*(sides or _lexical_sides(spark, sf_dir)), MAX_FEATURES), K)
 
 
 @query(f"WITH {TFIDF} SELECT qid, tid, source, tfidf_score, tfidf_rank FROM sp")
 def sparse_search(spark, sf_dir):
-    return sparse_topk(*_sparse_weights(*_lexical_sides(spark, sf_dir)), K)
+    return lexical_pairs(spark, sf_dir)
 
 
-_HASHED = f"""tq AS (SELECT entity_id, unnest(CASE WHEN length(normalized) >= 3 THEN list_transform(range(1, length(normalized) - 1), lambda i: substr(normalized, i, 3)) ELSE [normalized] END) AS gram FROM r),
- hq AS (SELECT entity_id, sha256('"' || gram || '"') AS h FROM tq), bq AS (SELECT entity_id, CAST(({_NIBBLE(15)} % 4) * 16 + {_NIBBLE(16)} AS INTEGER) AS bucket, sum(CASE WHEN {_NIBBLE(14)} % 2 = 1 THEN 1 ELSE -1 END) AS n FROM hq GROUP BY ALL),
- hv AS (SELECT entity_id, bucket, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY entity_id)) AS FLOAT) AS DOUBLE) AS value FROM bq),
- de0 AS (SELECT a.entity_id AS qid, b.entity_id AS tid, b.source, coalesce(round(x.s, 6), 0) AS dense_score FROM e a JOIN e b ON a.source = 1 AND b.source > 1 LEFT JOIN (SELECT p.entity_id AS i, q.entity_id AS j, sum(p.value * q.value) AS s FROM hv p JOIN hv q USING (bucket) GROUP BY ALL) x ON x.i = a.entity_id AND x.j = b.entity_id),
- de AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY dense_score DESC, tid) AS INTEGER) AS dense_rank FROM de0) WHERE dense_rank <= {K})"""
+_HASHED = f"""tq AS MATERIALIZED ({_grams_sql('r', 'normalized', 'doc_id').replace('SELECT doc_id, gram', 'SELECT doc_id AS i, gram', 1)} UNION ALL SELECT doc_id, normalized FROM r WHERE length(normalized) < 3),
+ hg AS MATERIALIZED (SELECT gram, sha256('"' || gram || '"') AS h FROM (SELECT DISTINCT gram FROM tq)), hb AS MATERIALIZED (SELECT gram, CAST(({_NIBBLE(15)} % 4) * 16 + {_NIBBLE(16)} AS INTEGER) AS bucket, CASE WHEN {_NIBBLE(14)} % 2 = 1 THEN 1 ELSE -1 END AS sign FROM hg),
+ bq AS MATERIALIZED (SELECT i, bucket, sum(sign) AS n FROM tq JOIN hb USING (gram) GROUP BY ALL),
+ hv AS MATERIALIZED (SELECT i, bucket, CAST(CAST(n / sqrt(sum(n * n) OVER (PARTITION BY i)) AS FLOAT) AS DOUBLE) AS value FROM bq),
+ dd AS MATERIALIZED (SELECT p.i AS qi, q.i AS ti, round(sum(p.value * q.value), 6) AS s FROM hv p JOIN hv q USING (bucket) WHERE p.i % 3 = 0 AND q.i % 3 > 0 GROUP BY ALL),
+ de0 AS MATERIALIZED (SELECT 'S1-' || a.doc_id AS qid, b.entity_id AS tid, b.source, coalesce(dd.s, 0) AS dense_score FROM e a JOIN e b ON a.source = 1 AND b.source > 1 LEFT JOIN dd ON dd.qi = a.doc_id AND dd.ti = b.doc_id),
+ de AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY dense_score DESC, tid) AS INTEGER) AS dense_rank FROM de0) WHERE dense_rank <= {K})"""
 
 
 @query(f"""WITH {TFIDF}, {_HASHED} SELECT qid, tid, source, coalesce(de.dense_score, de0.dense_score) AS dense_score, coalesce(sp.tfidf_score, sp0.tfidf_score, 0) AS tfidf_score, coalesce(tfidf_rank, 0) AS tfidf_rank, CASE WHEN dense_rank IS NULL THEN 'tfidf' WHEN tfidf_rank IS NULL THEN 'dense' ELSE 'dense,tfidf' END AS channels
 FROM de FULL OUTER JOIN sp USING (qid, tid, source) LEFT JOIN de0 USING (qid, tid, source) LEFT JOIN sp0 USING (qid, tid, source)""")
 def candidate_pairs(spark, sf_dir):
-    q, t = _lexical_sides(spark, sf_dir)
-    q, t = (cut(side.join(hash_vectors(side, key, "normalized"), key)) for side, key in ((q, "qid"), (t, "tid")))
-    qw, tw = (cut(w) for w in _sparse_weights(q, t))
-    pairs = cut(candidate_union(dense_topk(q, t, K), sparse_topk(qw, tw, K)))
-    full = fill_sparse(fill_dense(pairs, q, t), qw, tw)
+    q, t = (cut(side.join(hash_vectors(side, key, "normalized"), key)) for side, key in zip(_lexical_sides(spark, sf_dir), ("qid", "tid")))
+    full = retrieve(q, t, top_k_dense=K, top_k_tfidf=K, max_features=MAX_FEATURES)
     return full.select("qid", "tid", "source", "dense_score", "tfidf_score", F.coalesce("tfidf_rank", F.lit(0)).alias("tfidf_rank"), F.array_join("channels", ",").alias("channels"))
 
 
-@query(f"WITH {DENSE}, o AS (SELECT qid, source, tid, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY sha256(qid || tid)) AS INTEGER) AS r FROM d), u AS (SELECT qid, source, tid, dense_rank AS r FROM d UNION ALL SELECT * FROM o), f AS (SELECT qid, source, tid, round(sum(1.0::DOUBLE / (60 + r)), 9) AS rrf FROM u GROUP BY ALL) SELECT * FROM (SELECT qid, source, tid, rrf, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY rrf DESC, tid) AS INTEGER) AS rank FROM f) WHERE rank <= 5")
+@query(f"WITH {DENSE}, {TFIDF}, u AS (SELECT qid, source, tid, dense_rank AS r FROM d UNION ALL SELECT qid, source, tid, tfidf_rank FROM sp), f AS (SELECT qid, source, tid, round(sum(1.0::DOUBLE / (60 + r)), 9) AS rrf FROM u GROUP BY ALL) SELECT * FROM (SELECT qid, source, tid, rrf, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY rrf DESC, tid) AS INTEGER) AS rank FROM f) WHERE rank <= 5")
 def fused_ranks(spark, sf_dir):
-    d = vector_pairs(spark, sf_dir).select("qid", "source", "tid", F.lit("dense").alias("channel"), F.col("dense_rank").alias("rank"))
-    other = sampling.top_per_group(d.drop("rank"), ["qid", "source"], [F.sha2(F.concat("qid", "tid"), 256)], 1 << 30).withColumn("channel", F.lit("hash"))
-    return blocking.reciprocal_rank_fusion(d.unionByName(other), cap=5)
+    """The dense and the lexical ranking of every reference, fused."""
+    channel = lambda df, name, rank: df.select("qid", "source", "tid", F.lit(name).alias("channel"), F.col(rank).alias("rank"))
+    both = channel(vector_pairs(spark, sf_dir), "dense", "dense_rank").unionByName(channel(lexical_pairs(spark, sf_dir), "tfidf", "tfidf_rank"))
+    return blocking.reciprocal_rank_fusion(both, cap=5)
 
 
 @query(f"""WITH {ENTITIES}, z AS (SELECT entity_id, source, {_normal('business_name')} AS nn FROM e), w AS (SELECT DISTINCT entity_id, source, token FROM (SELECT entity_id, source, unnest(string_split(nn, ' ')) AS token FROM z) WHERE token <> ''),
- n AS (SELECT source, count(*) AS n FROM e GROUP BY source), y AS (SELECT source, token, ln(n / df) AS w FROM (SELECT source, token, count(*) AS df FROM w WHERE source > 1 GROUP BY ALL) JOIN n USING (source) WHERE df <= 20),
+ n AS (SELECT source, count(*) AS n FROM e GROUP BY source), y AS (SELECT source, token, ln(n / df) AS w FROM (SELECT source, token, count(*) AS df FROM w WHERE source > 1 GROUP BY ALL) JOIN n USING (source) WHERE df < n),
  u AS (SELECT q.entity_id AS qid, t.source, t.entity_id AS tid, round(sum(y.w), 6) AS weight FROM w q JOIN y ON q.source = 1 AND q.token = y.token JOIN w t ON t.source = y.source AND t.token = y.token GROUP BY ALL)
 SELECT * FROM (SELECT qid, source, tid, weight, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY weight DESC, tid) AS INTEGER) AS rank FROM u) WHERE rank <= 5""")
 def token_blocks(spark, sf_dir):
     named = features.normalized_fields(entities(spark, sf_dir), "entity_id").select("entity_id", tokens(F.col("business_name")).alias("tokens")).join(entities(spark, sf_dir).select("entity_id", "source"), "entity_id")
-    return blocking.token_blocking(named.where("source = 1").select(F.col("entity_id").alias("qid"), "tokens"), named.where("source > 1").select(F.col("entity_id").alias("tid"), "source", "tokens"), 5, 20)
+    return blocking.token_blocking(named.where("source = 1").select(F.col("entity_id").alias("qid"), "tokens"), named.where("source > 1").select(F.col("entity_id").alias("tid"), "source", "tokens"), 5)
 
 
 @query(f"""WITH {ENTITIES}, z AS (SELECT entity_id, source, {_normal('business_name')} AS nn FROM e), w AS (SELECT DISTINCT entity_id, source, token FROM (SELECT entity_id, source, unnest(list_transform(range(1, length(nn) - 2), lambda i: substr(nn, i, 4))) AS token FROM z WHERE length(nn) >= 4)),
- n AS (SELECT source, count(*) AS n FROM e GROUP BY source), y AS (SELECT source, token, ln(n / df) AS w FROM (SELECT source, token, count(*) AS df FROM w WHERE source > 1 GROUP BY ALL) JOIN n USING (source) WHERE df <= 20),
+ n AS (SELECT source, count(*) AS n FROM e GROUP BY source), y AS (SELECT source, token, ln(n / df) AS w FROM (SELECT source, token, count(*) AS df FROM w WHERE source > 1 GROUP BY ALL) JOIN n USING (source) WHERE df < n),
  u AS (SELECT q.entity_id AS qid, t.source, t.entity_id AS tid, round(sum(y.w), 6) AS weight FROM w q JOIN y ON q.source = 1 AND q.token = y.token JOIN w t ON t.source = y.source AND t.token = y.token GROUP BY ALL)
 SELECT * FROM (SELECT qid, source, tid, weight, CAST(row_number() OVER (PARTITION BY qid, source ORDER BY weight DESC, tid) AS INTEGER) AS rank FROM u) WHERE rank <= 5""")
 def gram_blocks(spark, sf_dir):
     """Blocking on the 4-grams of names."""
     named = features.normalized_fields(entities(spark, sf_dir), "entity_id").select("entity_id", char_grams(F.col("business_name"), 4).alias("tokens")).join(entities(spark, sf_dir).select("entity_id", "source"), "entity_id")
-    return blocking.token_blocking(named.where("source = 1").select(F.col("entity_id").alias("qid"), "tokens"), named.where("source > 1").select(F.col("entity_id").alias("tid"), "source", "tokens"), 5, 20)
+    return blocking.token_blocking(named.where("source = 1").select(F.col("entity_id").alias("qid"), "tokens"), named.where("source > 1").select(F.col("entity_id").alias("tid"), "source", "tokens"), 5)
+
 
+@query(f"""WITH {ENTITIES}, z AS (SELECT entity_id, source, {_normal('business_name')} AS name FROM e)
+SELECT qid, source, tid, CAST(i AS INTEGER) AS rank FROM (SELECT q.entity_id AS qid, t.source, t.entity_id AS tid, row_number() OVER (PARTITION BY q.entity_id, t.source ORDER BY t.entity_id) AS i FROM z q JOIN z t ON q.source = 1 AND t.source > 1 AND q.name = t.name AND q.name <> '') WHERE i <= 5""")
+def exact_names(spark, sf_dir):
+    """Targets whose normalized name equals the reference's."""
+    named = features.normalized_fields(entities(spark, sf_dir), "entity_id").select("entity_id", F.col("business_name").alias("name")).join(entities(spark, sf_dir).select("entity_id", "source"), "entity_id")
+    return blocking.exact_name_blocking(named.where("source = 1").select(F.col("entity_id").alias("qid"), "name"), named.where("source > 1").withColumnRenamed("entity_id", "tid"), 5)
 
-@query(f"WITH {DENSE}, o AS (SELECT qid, tid, CAST(row_number() OVER (PARTITION BY qid ORDER BY sha256(qid || tid)) AS INTEGER) AS r FROM d WHERE source = 2), u AS (SELECT qid, tid, 2 * dense_rank AS turn FROM d WHERE source = 2 UNION ALL SELECT qid, tid, 2 * r + 1 FROM o), m AS (SELECT qid, tid, min(turn) AS turn FROM u GROUP BY ALL) SELECT * FROM (SELECT qid, tid, CAST(row_number() OVER (PARTITION BY qid ORDER BY turn) AS INTEGER) AS rank FROM m) WHERE rank <= 6")
+
+@query(f"""WITH {ENTITIES}, z AS (SELECT source, entity_id, {_normal('business_name')} AS nn FROM e), w AS (SELECT DISTINCT entity_id, source, token FROM (SELECT entity_id, source, unnest(string_split(nn, ' ')) AS token FROM z) WHERE token <> ''),
+ y AS (SELECT source, token, count(*) AS df FROM w GROUP BY ALL)
+SELECT y.source, y.token, df, round((CAST(df AS DOUBLE) / n) / (CAST(all_df AS DOUBLE) / (SELECT count(*) FROM e)), 6) AS lift FROM y JOIN (SELECT token, sum(df) AS all_df FROM y GROUP BY token) USING (token) JOIN (SELECT source, count(*) AS n FROM e GROUP BY source) USING (source) WHERE df >= 2""")
+def token_lift(spark, sf_dir):
+    """Document frequency of name tokens by source, and their lift over all sources."""
+    named = features.normalized_fields(entities(spark, sf_dir), "entity_id").select("entity_id", tokens(F.col("business_name")).alias("tokens"))
+    return blocking.token_profile(named.join(entities(spark, sf_dir).select("entity_id", "source"), "entity_id"), "tokens")
+
+
+@query(f"WITH {DENSE}, {TFIDF}, u AS (SELECT qid, tid, 2 * dense_rank AS turn FROM d WHERE source = 2 UNION ALL SELECT qid, tid, 2 * tfidf_rank + 1 FROM sp WHERE source = 2), m AS (SELECT qid, tid, min(turn) AS turn FROM u GROUP BY ALL) SELECT * FROM (SELECT qid, tid, CAST(row_number() OVER (PARTITION BY qid ORDER BY turn) AS INTEGER) AS rank FROM m) WHERE rank <= 6")
 def interleaved(spark, sf_dir):
-    """Two rankings of the second source merged by turns."""
-    d = vector_pairs(spark, sf_dir).where("source = 2").select("qid", "tid", F.col("dense_rank").alias("rank"))
-    return blocking.interleave(d, sampling.top_per_group(d.drop("rank"), ["qid"], [F.sha2(F.concat("qid", "tid"), 256)], 1 << 30), 6)
+    """The dense and the lexical ranking of the second source merged by turns."""
+    ranking = lambda df, rank: df.where("source = 2").select("qid", "tid", F.col(rank).alias("rank"))
+    return blocking.interleave(ranking(vector_pairs(spark, sf_dir), "dense_rank"), ranking(lexical_pairs(spark, sf_dir), "tfidf_rank"), 6)
 
 
 @query(f"WITH {DENSE}, x AS (SELECT g.qid, g.tid, EXISTS (SELECT 1 FROM d WHERE d.qid = g.qid AND d.tid = g.tid AND d.dense_rank <= 5) AS retrieved FROM g), t AS (SELECT doc_id, coalesce(text, '') AS t, length(regexp_replace(coalesce(text, ''), '[^\\p{{L}}]', '', 'g')) AS l, length(regexp_replace(coalesce(text, ''), '[^\\p{{Latin}}]', '', 'g')) AS la FROM documents), y AS (SELECT doc_id, CASE WHEN l = 0 THEN 'none' WHEN 2 * la >= l THEN 'latin' ELSE 'other' END AS s FROM t) SELECT retrieved, count(*) AS pairs, count(*) FILTER (a.s <> b.s) AS mismatched FROM x JOIN y a ON a.doc_id = CAST(substr(x.qid, 4) AS BIGINT) JOIN y b ON b.doc_id = CAST(substr(x.tid, 4) AS BIGINT) GROUP BY retrieved")
@@ -466,12 +514,17 @@ def relative_guard(spark, sf_dir):
 
 @query()
 def gbt_scores(spark, sf_dir):
-    """Boosted trees on four features of the vector pairs, with the round chosen on dev."""
-    zero = {n: F.lit(0.0) for n in features.FEATURE_NAMES}
-    own = {"dense_similarity": F.col("dense_score"), "tfidf_similarity": F.col("dense_score") * F.col("dense_score"), "numeric_jaccard": 1.0 / F.col("dense_rank"), "numeric_exact": (F.col("source") == 2).cast("double")}
-    rows = cut(supervision.supervised_pairs(vector_pairs(spark, sf_dir), vector_truth(spark, sf_dir), vector_splits(spark, sf_dir)).withColumns(zero | own))
-    model, _ = scoring.fit_gbt(rows.where("split = 'fit'"), rows.where("split = 'dev'"), trees=20, depth=3, patience=5, step=10)
-    return scoring.gbt_scores(model, rows.where("split = 'audit'")).select("qid", "tid", "x")
+    """Boosted trees on the 22 features of references and the two records that follow them, with the round chosen on dev.
+
+    The vectors of the same numbers lend the dense similarity, the truth and the splits.
+    """
+    pairs, q, t = _neighbours(spark, sf_dir)
+    own = [side.select(F.col(key), F.col("embedding").alias(name)) for side, key, name in zip(vector_sides(spark, sf_dir), ("qid", "tid"), "ab")]
+    product = F.aggregate(F.zip_with("a", "b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    near = pairs.join(own[0], "qid").join(own[1], "tid").select("qid", "tid", F.substring("tid", 2, 1).cast("int").alias("source"), F.round(product, 6).alias("dense_score"), F.lit(0.0).alias("tfidf_score"))
+    labelled = cut(supervision.supervised_pairs(features.extract(near, q, t), vector_truth(spark, sf_dir), vector_splits(spark, sf_dir)))
+    model, _ = scoring.fit_gbt(labelled.where("split = 'fit'"), labelled.where("split = 'dev'"), trees=40, depth=4, patience=10, step=20)
+    return scoring.gbt_scores(model, labelled.where("split = 'audit'")).select("qid", "tid", "x")
 
 
 # ---- metrics, lists and checks -----------------------------------------------------------------------------

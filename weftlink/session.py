@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as `spark.checkpoint.dir` names it.
 
-    Where the session names none (tests on local masters) a temporary folder is set once.
+    Where the session names none, a temporary folder is set once on a local master; a cluster has to name one, as
+    its executors would not see the driver's disk.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="weftlink-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
