@@ -168,7 +168,9 @@ def _column(rows: DataFrame, schema: T.StructType, media: str, compute) -> DataF
 
 
 def fingerprint_column(rows: DataFrame, *, id_col: str, media_col: str = "audio") -> DataFrame:
-    """id and codes (signed 32-bit) of every recording."""
+    """id and codes (signed 32-bit) of every recording. An id column named `codes` could not be told from the result's own."""
+    if id_col.lower() == "codes":
+        raise ValueError("rename the id column")
     source = rows.select(id_col, F.col(media_col).cast("binary").alias("_media"))
     schema = T.StructType([source.schema[id_col], T.StructField("codes", T.ArrayType(T.IntegerType()))])
     return _column(source, schema, "_media", lambda x: (fingerprint(x).view(np.int32),))
@@ -177,15 +179,24 @@ def fingerprint_column(rows: DataFrame, *, id_col: str, media_col: str = "audio"
 def search(library: DataFrame, queries: DataFrame, *, id_col: str, most_error: float = 0.3) -> DataFrame:
     """(query, match, offset, bit_error, overlap): pairs of a stated query set and the library that align.
 
-    Both are (id, codes). Pairs come from an equi-join on codes and are counted by offset before anything else;
-    the winning offsets alone meet the codes of both sides.
+    Both are (id, codes). Recordings with equal codes are one first. A held tone repeats its code for many frames, so a run of equal
+    codes posts its ends alone, and a code that many recordings hold is met by blocks: distinct recordings and queries of a code are gathered
+    in a table of pairs without places, where `MIN_MATCHES` shared codes are counted by adaptive, pre-aggregated shuffles; the
+    pairs that remain are aligned on their whole codes. So every pair that shares that many ends of runs is found.
     """
-    post = lambda df, name, at: df.select(F.col(id_col).alias(name), F.posexplode("codes").alias(at, "code"))
-    counted = post(queries, "query", "i").join(post(library, "match", "j"), "code").groupBy("query", "match", (F.col("j") - F.col("i")).alias("offset")).agg(F.count(F.lit(1)).alias("n"))
-    pairs = counted.where(F.col("n") >= MIN_MATCHES).select("query", "match").distinct()
-    left = pairs.join(queries.select(F.col(id_col).alias("query"), F.col("codes").alias("a")), "query")
-    both = left.join(library.select(F.col(id_col).alias("match"), F.col("codes").alias("b")), "match").select("query", "match", "a", "b")
-    return align_columns(both, "a", "b").where(F.col("bit_error") <= most_error)
+    whole = lambda df: df.select(F.col(id_col).alias("id"), "codes").where(F.size("codes") > 0).withColumn("key", F.xxhash64("codes"))
+    held, asked = cut(whole(library)), cut(whole(queries))
+    distinct = lambda df: df.groupBy("key").agg(F.any_value("codes").alias("codes"))
+    end = lambda x, k: (k == 0) | (x != F.get(F.col("codes"), k - 1)) | (k == F.size("codes") - 1) | (x != F.get(F.col("codes"), k + 1))
+    post = lambda df, name: df.select(F.col("key").alias(name), F.explode(F.array_distinct(F.filter("codes", end))).alias("code"))
+    left, right = cut(distinct(asked)), cut(distinct(held))
+    shared = post(left, "q").join(post(right, "m"), "code").groupBy("q", "m").agg(F.count(F.lit(1)).alias("n"))
+    # two codes that are equal throughout share few distinct ones, so a recording also meets its own copies
+    pairs = shared.where(F.col("n") >= MIN_MATCHES).select("q", "m").unionByName(left.join(right, "key").select(F.col("key").alias("q"), F.col("key").alias("m"))).distinct()
+    both = pairs.join(left.select(F.col("key").alias("q"), F.col("codes").alias("a")), "q").join(right.select(F.col("key").alias("m"), F.col("codes").alias("b")), "m")
+    aligned = cut(align_columns(both.select("q", "m", "a", "b"), "a", "b").where(F.col("bit_error") <= most_error))
+    named = aligned.join(asked.select(F.col("id").alias("query"), F.col("key").alias("q")), "q").join(held.select(F.col("id").alias("match"), F.col("key").alias("m")), "m")
+    return named.select("query", "match", "offset", "bit_error", "overlap")
 
 
 def align_columns(rows: DataFrame, a: str, b: str) -> DataFrame:

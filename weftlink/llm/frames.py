@@ -13,9 +13,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .textkernel import Slice, slices
 
 
+#: Rows of whole texts that go to Python at once.
+BATCH_ROWS = 500
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Has Spark hand rows to Python in batches of at most BATCH_ROWS, here and later in the session, unless it does already.
+
+    Spark's own 10,000 make buffers of some 30 MB out of whole texts, several of them for each task, outside the heap.
+    """
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def project(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator needs; the text as a string."""
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), *more)
+    return small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), *more)
 
 
 def unused(name: str, *frames: DataFrame) -> str:
@@ -33,6 +48,7 @@ def append(df: DataFrame, text_col: str, fields: list[T.StructField], compute: C
     where that new boolean column holds, and the new columns are left out.
     """
     new = {f.name.lower() for f in fields}
+    small_batches(df)
     base = df if only_true else df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new])
     at = base.columns.index(text_col)
     schema = base.schema if only_true else T.StructType([*base.schema.fields, *fields])

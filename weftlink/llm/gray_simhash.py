@@ -235,3 +235,17 @@ def one_of_each(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = cut(fingerprints(table(spark, sf_dir, "documents")))
     return near_duplicate_components(prints).select("doc_id", F.lower(F.lpad(F.hex("_bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+GROUPS_SQL = """
+WITH RECURSIVE c AS (SELECT doc_id, CAST(xor((doc_id // 3 * 1000003) % 1099511627776, CAST(1 AS BIGINT) << (doc_id % 3 * 7)) AS BIGINT) AS code FROM documents),
+ l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM c a JOIN c b ON bit_count(xor(a.code, b.code)) <= 2),
+ w AS (SELECT a, b FROM l UNION SELECT w.a, l.b FROM w JOIN l ON w.b = l.a)
+SELECT a AS doc_id, min(b) AS component_id FROM w GROUP BY a
+"""
+
+
+def code_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of `op4_simhash` that SQL can state: components of codes within two bits, over codes made from the ids."""
+    code = ((F.floor(F.col("doc_id") / 3) * 1000003) % (1 << 40)).bitwiseXOR(F.expr("shiftleft(1L, cast(doc_id % 3 * 7 as int))"))
+    return near_duplicate_components(cut(table(spark, sf_dir, "documents").select("doc_id", code.alias("_bits")))).select("doc_id", "component_id")

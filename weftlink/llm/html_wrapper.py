@@ -40,6 +40,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import cut, drop_path, scratch, table
+from .frames import small_batches
 
 EVIDENCE = 6  # distinct pages
 FREQUENT_PAGES, FREQUENT_PERCENT = 3, 5
@@ -593,7 +594,7 @@ def _merge_group(key, frame):
 def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", bucket_pages: int = BUCKET_PAGES) -> DataFrame:
     """(host, wrapper) over all pages. Computed when this returns."""
     spark, path = pages.sparkSession, scratch(pages.sparkSession, "outlines")
-    rows = pages.select(_host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
+    rows = small_batches(pages).select(_host(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html"))
     # copies in all tasks are one page before anything is counted
     same = rows.mapInArrow(_outlines, _OUTLINES).groupBy("host", "digest")
     same.agg(F.min("outline").alias("outline"), F.min("keys").alias("keys")).write.parquet(path)
@@ -618,7 +619,7 @@ def infer_wrappers(pages: DataFrame, *, url_col: str = "url", html_col: str = "h
 
 def extract(pages: DataFrame, wrappers: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text and n_chars of every page, read through its host's wrapper."""
-    rows = pages.select(F.col(id_col), F.col(url_col), _host(F.col(url_col)).alias("_host"), F.col(html_col).cast("string").alias("_html"))
+    rows = small_batches(pages).select(F.col(id_col), F.col(url_col), _host(F.col(url_col)).alias("_host"), F.col(html_col).cast("string").alias("_html"))
     size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
     known = wrappers.withColumnsRenamed({"host": "_of", "wrapper": "_wrapper"})
     # small sets of wrappers go to every task, larger ones are joined by host, where adaptive execution splits a hot one

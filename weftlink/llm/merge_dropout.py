@@ -144,7 +144,6 @@ class MergeModel:
         return "".join(out)[1:]
 
 
-
 _RESULT = [
     T.StructField("ids", T.ArrayType(T.IntegerType())),
     T.StructField("decoded", T.StringType()),
@@ -152,7 +151,10 @@ _RESULT = [
 
 
 def encode(rows: DataFrame, model: str, *, key_cols: list[str], text_col: str = "text", dropout: float = 0.1, seed: int = 0) -> DataFrame:
-    """key columns, text and ids of every row."""
+    """key columns, text and ids of every row. A key column named `text` or `ids` could not be told from the result's own."""
+    clash = {c.lower() for c in key_cols} & {"text", "ids"}
+    if clash:
+        raise ValueError(f"rename the key columns {sorted(clash)}")
     source = rows.select(*key_cols, F.col(text_col).cast("string").alias("_text"), F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key_cols]).alias("_key"))
     schema = T.StructType([*(source.schema[c] for c in key_cols), T.StructField("text", T.StringType()), _RESULT[0]])
 
@@ -210,3 +212,12 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = vocabulary()
     turns = table(spark, sf_dir, "conversations")
     return digest(decode(encode(turns, model, key_cols=["conv_id", "turn"], dropout=0.1, seed=17), model))
+
+
+DECODED_SQL = "SELECT conv_id, turn, coalesce(text, '') AS decoded FROM conversations"
+
+
+def decoded_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of `op7_sentencepiece` that SQL can state: what decoding gives back."""
+    model = vocabulary()
+    return decode(encode(table(spark, sf_dir, "conversations"), model, key_cols=["conv_id", "turn"], dropout=0.1, seed=17), model).select("conv_id", "turn", "decoded")

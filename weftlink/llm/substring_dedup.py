@@ -2,15 +2,17 @@
 
 A window is `WINDOW` consecutive words of one document. A word goes when a window over it also starts in a
 document with a smaller id. Documents come in batches of rising id; the index holds what earlier batches
-left in sorted immutable runs, which each batch is joined with before it appends its own, and which are
-compacted once there are more than `fan_in`.
+left in immutable runs, bucketed and sorted by key. A batch is merge-joined with each run where the run lies, without
+an exchange or a sort of it, before it appends its own; `fan_in` runs are compacted into one. `save` and `open` carry
+an index from one job to the next.
 
 Two kinds of run keep this linear. An *anchor* run maps the smallest hash among a window's inner
 `GRAM`-word grams to the first document that has it: equal windows have equal anchors, and neighbours
 mostly share theirs, so there is about one for 13 windows. A *window* run maps the 128-bit BLAKE2 digest
 of a window's words to the first document that has it; only windows whose anchor occurs in two documents
 enter, at the batch in which it first does, for the batch's documents and for the one earlier
-document. Digests are taken from the words themselves, so they verify what the anchors propose.
+document. Digests are taken from the words themselves, so they verify what the anchors propose; of earlier texts only those
+are read again that an anchor of the batch points at for the first time.
 
 Before windows are compared, consecutive ones with one anchor form a segment. Equal segments are grouped first: copies of
 a passage meet as one row with the smallest id, and only the windows of distinct segments are dealt out.
@@ -23,6 +25,8 @@ id is neither source nor target; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +36,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import cut, drop_path, scratch, table
-from .frames import BROADCAST_ROWS, append, project, small
+from ..storage import Storage
+from .frames import BROADCAST_ROWS, append, project, small, small_batches, unused
 from .textkernel import Slice, mix, slices
 
 WINDOW = 50
@@ -152,53 +157,113 @@ def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return texts.join(F.broadcast(ids), "_id", "left_semi") if ids.count() <= BROADCAST_ROWS else texts
 
 
+@contextmanager
+def _sorted_scans(spark: SparkSession):
+    """Lets scans of bucketed tables use the order of their files, one for each bucket."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Runs:
-    """Sorted immutable runs of keys, each with the first document that has it."""
+    """Immutable runs of keys, bucketed and sorted, each with the first document that has a key and whether two have had it."""
+
+    def __init__(self, spark: SparkSession, folder: str, name: str, keys: dict[str, str], buckets: int, fan_in: int):
+        self.spark, self.folder, self.name, self.keys, self.buckets, self.fan_in = spark, folder, name, keys, buckets, fan_in
+        self.runs: dict[str, str] = {}  # name of the file folder: name of the session's table over it
 
-    def __init__(self, spark: SparkSession, name: str, keys: list[str], fan_in: int = 4):
-        self.spark, self.name, self.keys, self.fan_in = spark, name, keys, fan_in
-        self.paths: list[str] = []
-        self.dropped: list[str] = []
+    def _columns(self) -> str:
+        return ", ".join(f"{k} {t}" for k, t in self.keys.items()) + ", first bigint, shared boolean, old bigint"
 
-    def _write(self, rows: DataFrame) -> str:
-        path = scratch(self.spark, self.name)
-        rows.repartition(*self.keys).sortWithinPartitions(*self.keys).write.parquet(path)
-        return path
+    def attach(self, name: str) -> DataFrame:
+        """Makes a stored run known to the session."""
+        self.runs[name] = f"weftlink_{uuid.uuid4().hex}"
+        keys = ", ".join(self.keys)
+        self.spark.sql(f"CREATE TABLE {self.runs[name]} ({self._columns()}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'")
+        return self.spark.table(self.runs[name])
 
     def append(self, rows: DataFrame) -> DataFrame:
-        """Adds a run of (keys, first, shared) and returns it as read back."""
-        self.paths.append(self._write(rows))
-        added = self.spark.read.parquet(self.paths[-1])
-        if len(self.paths) > self.fan_in:
-            merged = self._write(self.read())
-            self.dropped += self.paths
-            self.paths = [merged]
-        return added
-
-    def read(self) -> DataFrame | None:
-        """Each key once: its first document, and whether two documents have had it."""
-        if not self.paths:
-            return None
-        every = self.spark.read.parquet(*self.paths)
-        if len(self.paths) == 1:
-            return every
-        return every.groupBy(*self.keys).agg(F.min("first").alias("first"), (F.max("shared") | (F.count(F.lit(1)) > 1)).alias("shared"))
-
-    def delete(self) -> None:
-        for path in self.dropped + self.paths:
-            drop_path(self.spark, path)
+        """Adds a run of (keys, first, shared, old), which lie by key already, and returns it as stored."""
+        name = f"{self.name}-{uuid.uuid4().hex}"
+        self.runs[name] = f"weftlink_{uuid.uuid4().hex}"
+        writer = rows.select(*self.keys, "first", "shared", "old").write.format("parquet").bucketBy(self.buckets, *self.keys).sortBy(*self.keys)
+        writer.option("path", f"{self.folder}/{name}").saveAsTable(self.runs[name])
+        return self.spark.table(self.runs[name])
+
+    def look_up(self, rows: DataFrame) -> DataFrame:
+        """`rows` with what the runs know of their key: `past`, the first document, and `known`, whether two have had it."""
+        past, known = F.lit(None).cast("long"), F.lit(False)
+        for k, table_name in enumerate(self.runs.values()):
+            run = self.spark.table(table_name).select(*self.keys, F.col("first").alias(f"_first{k}"), F.col("shared").alias(f"_shared{k}"))
+            rows = rows.join(run.hint("merge"), list(self.keys), "left")
+            past, known = F.least(past, F.col(f"_first{k}")), known | F.coalesce(F.col(f"_shared{k}"), F.lit(False))
+        names = [f"_{n}{k}" for k in range(len(self.runs)) for n in ("first", "shared")]
+        return rows.withColumns({"past": past, "known": known}).drop(*names)
+
+    def compact(self) -> None:
+        """Merges the runs into one, two at a time and bucket by bucket, once there are `fan_in`."""
+        if len(self.runs) < max(2, self.fan_in):
+            return
+        while len(self.runs) > 1:
+            old = list(self.runs)[:2]
+            a, b = (self.spark.table(self.runs[n]).select(*self.keys, F.col("first").alias(f"f{k}"), F.col("shared").alias(f"s{k}")) for k, n in enumerate(old))
+            both = a.join(b.hint("merge"), list(self.keys), "full_outer")
+            either = F.coalesce("s0", F.lit(False)) | F.coalesce("s1", F.lit(False)) | (F.col("f0").isNotNull() & F.col("f1").isNotNull())
+            self.append(both.select(*self.keys, F.least("f0", "f1").alias("first"), either.alias("shared"), F.lit(None).cast("long").alias("old")))
+            merged = list(self.runs)[-1]
+            for name in old:
+                self.detach(name, True)
+            self.runs = {merged: self.runs.pop(merged)} | self.runs
+
+    def detach(self, name: str, files: bool) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.runs.pop(name)}")
+        if files:
+            drop_path(self.spark, f"{self.folder}/{name}")
+
+
+_KEYS = {"anchors": {"h": "bigint"}, "windows": {"w1": "bigint", "w2": "bigint"}}
 
 
 class FingerprintIndex:
-    """State that survives from batch to batch. Ids of a batch must exceed those of all before it."""
+    """State that survives from batch to batch. Ids of a batch must exceed those of all before it.
 
-    def __init__(self, documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 4):
+    `documents` holds the texts of the batches to come and of those that went before. `buckets` is how many parts
+    a run has, for the life of the index; it should follow the size that the index is to grow to.
+    """
+
+    def __init__(self, documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 2, folder: str | None = None, buckets: int | None = None):
         self.spark = documents.sparkSession
-        self.source = documents.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
-        self.anchors = Runs(self.spark, "anchors", ["h"], fan_in)
-        self.windows = Runs(self.spark, "windows", ["w1", "w2"], fan_in)
+        self.source = small_batches(documents).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text"))
+        self.folder = folder or scratch(self.spark, "index")
+        self.buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.anchors, self.windows = (Runs(self.spark, self.folder, n, _KEYS[n], self.buckets, fan_in) for n in ("anchors", "windows"))
         self.temporary: dict[str, str] = {}
         self.batches = 0
+        self.highest: int | None = None
+        self.compactions = 0
+
+    @staticmethod
+    def open(documents: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 2) -> FingerprintIndex:
+        """The index that `save` left in a folder."""
+        kept = Storage(documents.sparkSession).read_json(f"{folder}/index.json")
+        if (kept["window"], kept["gram"]) != (WINDOW, GRAM):
+            raise ValueError(f"{folder} holds windows of {kept['window']} words over grams of {kept['gram']}")
+        index = FingerprintIndex(documents, id_col=id_col, text_col=text_col, fan_in=fan_in, folder=folder, buckets=kept["buckets"])
+        index.highest = kept["highest"]
+        for runs in (index.anchors, index.windows):
+            for name in kept[runs.name]:
+                runs.attach(name)
+        return index
+
+    def save(self) -> str:
+        """Writes down what the index consists of; the runs are stored already."""
+        kept = {"window": WINDOW, "gram": GRAM, "buckets": self.buckets, "highest": self.highest} | {runs.name: list(runs.runs) for runs in (self.anchors, self.windows)}
+        Storage(self.spark).write_json(f"{self.folder}/index.json", kept)
+        return self.folder
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         self.temporary[name] = scratch(self.spark, name)
@@ -214,7 +279,17 @@ class FingerprintIndex:
 
         Returns their survey (_id, _row, n_words, sha) and the covered windows (_id, _row, spans).
         """
+        if self.highest is not None and (low is None or low < self.highest):
+            raise ValueError(f"the index holds ids up to {self.highest}")
+        with _sorted_scans(self.spark):
+            return self._add(low, high)
+
+    def _add(self, low: int | None, high: int | None) -> tuple[DataFrame, DataFrame]:
         self.batches += 1
+        for runs in (self.anchors, self.windows):
+            before = len(runs.runs)
+            runs.compact()
+            self.compactions += len(runs.runs) < before
         docs = self.source.where(F.col("_id").isNotNull())
         if low is not None:
             docs = docs.where(F.col("_id") > low)
@@ -222,22 +297,14 @@ class FingerprintIndex:
             docs = docs.where(F.col("_id") <= high)
         fields = [T.StructField("n_words", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("anchors", T.ArrayType(T.LongType()))]
         survey = self._kept(append(docs.withColumn("_row", F.xxhash64("text")), "text", fields, _survey).drop("text"), f"survey-{self.batches}")
+        self.highest = high if high is not None else survey.agg(F.max("_id")).first()[0] or self.highest
 
         occurs = survey.select("_id", F.explode("anchors").alias("h"))
-        mine = occurs.groupBy("h").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
-        before = self.anchors.read()
-        if before is None:
-            joined = mine.select("h", "first", (F.col("first") < F.col("last")).alias("shared"), F.lit(None).cast("long").alias("old"))
-        else:
-            past = before.select("h", F.col("first").alias("past"), F.col("shared").alias("known"))
-            joined = mine.join(past, "h", "left").select(
-                "h", F.coalesce("past", "first").alias("first"), (F.col("past").isNotNull() | (F.col("first") < F.col("last"))).alias("shared"),
-                F.when(~F.col("known"), F.col("past")).alias("old"),
-            )
-        joined = self._kept(joined, "met")
-        self.anchors.append(joined.select("h", "first", "shared"))
-
-        shared = joined.where("shared")
+        mine = self.anchors.look_up(occurs.groupBy("h").agg(F.min("_id").alias("own"), F.max("_id").alias("last")))
+        met = F.col("past").isNotNull()
+        run = self.anchors.append(mine.select("h", F.coalesce("past", "own").alias("first"), (met | (F.col("own") < F.col("last"))).alias("shared"), F.when(met & ~F.col("known"), F.col("past")).alias("old")))
+
+        shared = run.where("shared")
         wanted = occurs.join(shared.select("h"), "h").unionByName(shared.where("old is not null").select(F.col("old").alias("_id"), "h"))
         wanted = self._kept(wanted.groupBy("_id").agg(F.collect_set("h").alias("wanted")), "wanted")
         everyone = self.source if high is None else self.source.where(F.col("_id") <= high)
@@ -249,12 +316,9 @@ class FingerprintIndex:
         places = self._kept(segments.drop("windows"), "places")
         self._drop("segments")
         spread = distinct.select("seg", "_first", "windows").mapInArrow(_spread_windows, "w1 long, w2 long, seg binary, pos int, _first long")
-        run = spread.groupBy("w1", "w2").agg(F.min("_first").alias("first"))
-        past = self.windows.read()
-        if past is not None:
-            run = run.join(past.select("w1", "w2", F.col("first").alias("past")), ["w1", "w2"], "left").select("w1", "w2", F.least("first", "past").alias("first"))
-        run = self.windows.append(run.withColumn("shared", F.lit(True)))
-        late = spread.join(run, ["w1", "w2"]).where(F.col("first") < F.col("_first"))
+        mine = self.windows.look_up(spread.groupBy("w1", "w2").agg(F.min("_first").alias("own")))
+        run = self.windows.append(mine.select("w1", "w2", F.least("own", "past").alias("first"), F.lit(True).alias("shared"), F.lit(None).cast("long").alias("old")))
+        late = spread.join(run.select("w1", "w2", "first"), ["w1", "w2"]).where(F.col("first") < F.col("_first"))
         mask = late.groupBy("seg").agg(F.bit_or(F.expr("shiftleft(1L, pos)")).alias("mask"))
         # written, so that the join below stands on plain shuffles, which adaptive execution splits at a hot segment
         judged = self._kept(distinct.select("seg", "_first").join(mask, "seg", "left"), "judged")
@@ -264,13 +328,17 @@ class FingerprintIndex:
         covered = here.join(judged, "seg").select("_id", "_row", "at", F.when(F.col("_id") > F.col("_first"), full).otherwise(F.coalesce("mask", F.lit(0))).alias("mask"))
         covered = covered.where("mask <> 0").groupBy("_id", "_row").agg(F.collect_set(F.struct("at", "mask")).alias("spans"))
         covered = self._kept(covered, f"covered-{self.batches}")
-        self._drop("met", "wanted", "places", "distinct", "judged")
+        self._drop("wanted", "places", "distinct", "judged")
         return survey.drop("anchors"), covered
 
-    def delete(self) -> None:
-        self.anchors.delete()
-        self.windows.delete()
+    def close(self, keep: bool = False) -> None:
+        """Drops scratch tables, and the index itself unless it is kept."""
+        for runs in (self.anchors, self.windows):
+            for name in list(runs.runs):
+                runs.detach(name, not keep)
         self._drop(*list(self.temporary))
+        if not keep:
+            drop_path(self.spark, self.folder)
 
 
 def batch_bounds(documents: DataFrame, id_col: str, batches: int) -> list[tuple[int | None, int | None]]:
@@ -315,28 +383,31 @@ def _cut_texts(batches):
             yield pa.RecordBatch.from_arrays([ids, keys, pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], schema=schema)
 
 
-def substring_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, fan_in: int = 4) -> tuple[DataFrame, DataFrame]:
+def substring_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, fan_in: int = 2) -> tuple[DataFrame, DataFrame]:
     """(survey, edits), over all documents.
 
     survey: _id, _row (hash of the text), n_words, sha of each row; edits: _id, _row, n_removed, kept_sha,
     kept_text of each row that loses words. Both are checkpoints; the index itself is deleted.
     """
     index = FingerprintIndex(documents, id_col=id_col, text_col=text_col, fan_in=fan_in)
-    surveys, edits = [], []
-    for low, high in batch_bounds(documents, id_col, batches):
-        survey, covered = index.add(low, high)
-        surveys.append(survey)
-        edits.append(covered)
-    survey, covered = surveys[0], edits[0]
-    for more in surveys[1:]:
-        survey = survey.unionByName(more)
-    for more in edits[1:]:
-        covered = covered.unionByName(more)
+    found = [index.add(low, high) for low, high in batch_bounds(documents, id_col, batches)]
+    result = _results(index, found)
+    index.close()
+    return result
+
+
+def extend(index: FingerprintIndex, low: int | None, high: int | None) -> tuple[DataFrame, DataFrame]:
+    """(survey, edits) of the documents with low < id <= high, judged against all that the index holds, which then holds them too."""
+    return _results(index, [index.add(low, high)])
+
+
+def _results(index: FingerprintIndex, found: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    survey, covered = found[0]
+    for more, spans in found[1:]:
+        survey, covered = survey.unionByName(more), covered.unionByName(spans)
     texts = index.source.where("_id is not null").withColumn("_row", F.xxhash64("text"))
     cuts = cut(_only(texts, covered).join(covered, ["_id", "_row"]).dropDuplicates(["_id", "_row"]).select("_id", "_row", "text", "spans").mapInArrow(_cut_texts, _CUT))
-    survey = cut(survey)
-    index.delete()
-    return survey, cuts
+    return cut(survey), cuts
 
 
 def _unnamed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -346,27 +417,28 @@ def _unnamed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return append(rows, "text", fields, lambda part: _survey(part)[:2]).drop("text")
 
 
-def digest(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = 2, fan_in: int = 4) -> DataFrame:
+def digest(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, fan_in: int = 2) -> DataFrame:
     """id, n_words, n_removed and kept_sha256 of every row."""
     survey, cuts = substring_dedup(documents, id_col=id_col, text_col=text_col, batches=batches, fan_in=fan_in)
     every = survey.unionByName(_unnamed(documents, id_col, text_col)).join(cuts.drop("kept_text"), ["_id", "_row"], "left")
     return every.select(F.col("_id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("kept_sha", "sha").alias("kept_sha256"))
 
 
-def strip_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
+def strip_repeats(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batches: int = 3) -> DataFrame:
     """Documents without the words that repeat an earlier document, with their own columns.
 
-    A row that loses all its words goes; one that loses none keeps its text byte for byte.
+    A row that loses all its words goes; one that loses none keeps its text byte for byte, a row with a null id too.
     """
     _, cuts = substring_dedup(documents, id_col=id_col, text_col=text_col, batches=batches)
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    keyed = documents.select(*columns, F.col(id_col).cast("long").alias("_edit_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_edit_row"))
-    edits = cuts.select(F.col("_id").alias("_edit_id"), F.col("_row").alias("_edit_row"), F.col("kept_text").alias("_edit_text"))
-    keys, on = small(edits.drop("_edit_text")), ["_edit_id", "_edit_row"]
-    changed = {text_col: F.col("_edit_text")}
+    id_key, row_key, new_text = on = [unused(f"_edit_{n}", documents) for n in ("id", "row", "text")]
+    keyed = documents.select(*columns, F.col(f"`{id_col}`").cast("long").alias(id_key), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias(row_key))
+    edits = cuts.select(*[F.col(a).alias(b) for a, b in zip(("_id", "_row", "kept_text"), on)])
+    keys, on = small(edits.drop(new_text)), [id_key, row_key]
+    changed = {text_col: F.col(new_text)}
     if "n_chars" in documents.columns:
-        changed["n_chars"] = F.length("_edit_text").cast(documents.schema["n_chars"].dataType)
-    edited = keyed.join(keys, on, "left_semi").join(edits, on).where("_edit_text <> ''").select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns])
+        changed["n_chars"] = F.length(new_text).cast(documents.schema["n_chars"].dataType)
+    edited = keyed.join(keys, on, "left_semi").join(edits, on).where(F.col(new_text) != "").select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in documents.columns])
     return keyed.join(keys, on, "left_anti").select(*columns).unionByName(edited)
 
 

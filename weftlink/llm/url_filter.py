@@ -2,7 +2,8 @@
 
 A rule names a host and a path; it fits that host and all its subdomains where the url's path starts with
 the rule's, and the longest rule that fits decides. The other urls go to boosted trees over length, depth, digit
-ratio, entropy, parameter counts and suffix statistics, trained from labelled urls.
+ratio, entropy, parameter counts and suffix statistics, trained from labelled urls: a table of them, or what the
+rules and the labels of the shown documents say of the pages at hand (`page_labels`).
 
 Defined results: a null url, or one without `://`, has an empty host and path and goes to the method with
 all features zero; of equally long rules the first in order wins; urls are judged one by one, so repeated rows agree; an
@@ -11,13 +12,13 @@ empty table gives no rows; without labelled urls of both kinds everything left b
 
 from __future__ import annotations
 
-import random
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -158,40 +159,26 @@ def train(urls: list[str], blocked: np.ndarray, *, rounds: int = 80, depth: int
     return model
 
 
-def seed_labels(n: int = 3000, seed: int = 0) -> tuple[list[str], np.ndarray]:
-    """Labelled urls made by rule, for use where no list is at hand.
+def page_labels(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, *, id_col: str = "page_id", url_col: str = "url", doc_col: str = "doc_id") -> DataFrame:
+    """(url, blocked) of the pages that something labels: a rule, by its verdict, or else the labels of the document they show.
 
-    Blocked ones look like link farms: hyphenated or numbered hosts, deep paths, long random tokens, many
-    tracking parameters. Allowed ones look like articles; some carry a hyphen, a number or a parameter.
+    The last number of a page's path names that document; a page of one labelled of low quality or toxic is to be blocked,
+    of one labelled good and clean allowed.
     """
-    rng = random.Random(seed)
-    pick = rng.choice
-    word = lambda a=2, b=4: "".join(pick("bcdfghlmnprstvw") + pick("aeiou") for _ in range(rng.randint(a, b)))
-    token = lambda k: "".join(pick("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(k))
-    ends = ["com", "org", "net", "de", "fr", "info", "co.uk"]
-    urls, blocked = [], []
-    for k in range(n):
-        bad = k % 3 == 0
-        scheme = pick(["http://", "https://"])
-        if bad:
-            style = rng.randrange(3)
-            host = pick(["", "www.", "m."]) + (f"{word()}-{word()}" if style != 1 else f"{word()}{rng.randrange(10, 9999)}") + pick(["", "-" + word()]) + "." + pick(["example.", "", "", word() + "."]) + pick(ends)
-            path = "/" + "/".join(pick([word(), token(rng.randint(6, 20)), str(rng.randrange(10**6))]) for _ in range(rng.randint(1, 6)))
-            query = "?" + "&".join(f"{pick(['aff', 'ref', 'click', 'sid', 'utm_campaign', 'q'])}={token(rng.randint(4, 24))}" for _ in range(rng.randint(1, 7))) if style == 2 or rng.random() < 0.3 else ""
-        else:
-            host = pick(["", "", "www.", "blog.", "m.", "news."]) + word() + pick(["", word()]) + (f"-{word()}" if rng.random() < 0.02 else "") + "." + pick(["example.", "", "", ""]) + pick(ends)
-            path = "/" + "/".join(pick([word(), word() + "-" + word(), str(rng.randrange(1000)), pick(["en", "de", "fr", "es"])]) for _ in range(rng.randint(0, 4))) + pick(["", "/", ".html"])
-            query = pick(["?page=2", "?utm_source=feed", f"?id={rng.randrange(1000)}", "?page=2&ref=x"]) if rng.random() < 0.35 else ""
-        urls.append(scheme + host + path + query + pick(["", "", "#top"]))
-        blocked.append(bad)
-    return urls, np.array(blocked)
+    ruled = judge(pages, UrlModel(), rules, id_col=id_col, url_col=url_col).where("rule is not null").select(F.col(id_col).alias("_page"), (F.col("verdict") == "block").alias("_rule"))
+    urls = pages.select(F.col(id_col).alias("_page"), F.col(url_col).cast("string").alias("url")).where("url is not null")
+    path = F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)
+    number = F.regexp_extract(path, r"(\d{1,18})\D*$", 1)
+    shown = urls.withColumn("_doc", F.when(number != "", number.cast("long")))
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    known = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(doc_col).cast("long").alias("_doc")).agg(F.max(bad.cast("int")).alias("_bad"))
+    both = shown.join(ruled.distinct(), "_page", "left").join(known, "_doc", "left")
+    return both.select("url", F.coalesce("_rule", F.col("_bad") == 1).alias("blocked")).where("blocked is not null")
 
 
 def labelled_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", most: int = 20_000) -> tuple[list[str], np.ndarray]:
     """At most `most` labelled urls, by their hash, as training input."""
-    from pyspark.sql import functions as F
-
-    rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).orderBy(F.xxhash64(url_col), url_col).limit(most).select(url_col, F.col(label_col).cast("boolean")).collect()
+    rows = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).orderBy(F.xxhash64(url_col), url_col, label_col).limit(most).select(url_col, F.col(label_col).cast("boolean")).collect()
     return [r[0] for r in rows], np.array([r[1] for r in rows], bool)
 
 
@@ -225,4 +212,21 @@ def judge(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str, str]] =
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"), train(*seed_labels()))
+    """Every page's url. The trees learn from the urls of `pages` that a rule or a labelled document labels."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    return judge(pages, train(*labelled_urls(page_labels(pages, labels))))
+
+
+RULES_SQL = r"""
+WITH u AS (SELECT page_id, regexp_replace(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), '', '') AS h, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ v AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM u),
+ r AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS t(verdict, rh, rp)),
+ f AS (SELECT page_id, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC) AS i FROM v JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT v.page_id, host, path, f.rule, f.verdict AS rule_verdict FROM v LEFT JOIN f ON f.page_id = v.page_id AND f.i = 1
+"""
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of `op6_url_filter` that SQL can state: host, path, rule and the rule's own verdict."""
+    verdict = F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict")
+    return judge(table(spark, sf_dir, "pages"), UrlModel()).select("page_id", "host", "path", "rule", verdict)
