@@ -72,6 +72,12 @@ def test_frames_and_search(spark):
     found = {(r.query, r.match): r for r in search(prints, prints.where("rec = 100"), id_col="rec").collect()}
     assert found[(100, 4)].offset == 10 and found[(100, 100)].bit_error == 0
     assert {m for _, m in found} <= {4, 100, None}
+    held = [7] * 400  # one held tone: a single code for many frames, in many recordings
+    tones = spark.createDataFrame([(k, held + [k + 1000, 5, 6, 9, 8]) for k in range(60)], "rec long, codes array<int>")
+    same = search(tones, tones.where("rec < 2"), id_col="rec").groupBy("query").count().collect()
+    assert {r.query: r["count"] for r in same} == {0: 60, 1: 60}
+    with pytest.raises(ValueError):
+        fingerprint_column(df.withColumnRenamed("codes", "c").withColumnRenamed("rec", "codes"), id_col="codes")
     assert fingerprint_column(df.limit(0), id_col="rec").count() == 0
 
 

@@ -1,6 +1,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+from pyspark.sql import functions as F
+
+from weftlink.llm.shingle_join import _sketch_gap, parity_sketch, set_simhash
 
 
 def shingles(text, words=5):
@@ -19,7 +23,8 @@ def brute_groups(texts, share=0.8):
 
     for i in texts:
         for j in texts:
-            if i < j and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+            a, b = sorted((len(sets[i]), len(sets[j])))
+            if i < j and 5 * a >= 4 * b and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
                 a, b = sorted((root(i), root(j)))
                 label[b] = a
     return {i: root(i) for i in texts}
@@ -39,6 +44,27 @@ def near_copies():
     return texts | {900: "", 901: None, 902: "A b", 903: "a  B"}
 
 
+def test_sketches_never_exceed_the_difference(spark):
+    """The bits in which two parity sketches differ are at most the members that two sets do not share."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for n in (0, 1, 63, 64, 65, 200, 700, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for share in (0.0, 0.1, 0.3):
+            kept = a[rng.random(len(a)) >= share]
+            b = np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, len(a) - len(kept) + 3, dtype=np.uint64)]))
+            rows.append((parity_sketch(a).tolist(), parity_sketch(b).tolist(), len(np.setxor1d(a, b))))
+    df = spark.createDataFrame(rows, "x array<long>, y array<long>, apart int").select("apart", _sketch_gap(F.col("x"), F.col("y")).alias("gap"))
+    got = df.collect()
+    assert all(r.gap <= r.apart for r in got) and sum(r.gap > r.apart / 3 for r in got) > len(got) / 2
+
+
+def test_set_simhash_is_the_majority():
+    values = np.random.default_rng(0).integers(0, 1 << 63, 31, dtype=np.uint64)
+    want = sum(1 << b for b in range(64) if 2 * sum(int(v) >> b & 1 for v in values) > len(values))
+    assert set_simhash(values) & (1 << 64) - 1 == want and set_simhash(values[:0]) == 0
+
+
 def test_stage_takes_80_percent_of_five_words(spark):
     texts = near_copies()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)

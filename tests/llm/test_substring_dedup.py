@@ -4,7 +4,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from weftlink.llm.substring_dedup import WINDOW, digest, strip_repeats, window_anchors
+from weftlink.llm.substring_dedup import WINDOW, FingerprintIndex, digest, extend, strip_repeats, window_anchors
 from weftlink.llm.textkernel import slices
 
 
@@ -80,3 +80,47 @@ def test_strip_and_empty(spark):
     assert sorted(tuple(r) for r in kept.collect()) == [(1, text, 5), (2, "start\n end", 10), (4, " short  text ", 8)]
     assert strip_repeats(df.limit(0)).count() == 0
     assert digest(df.limit(0)).count() == 0
+
+
+def test_two_jobs_over_one_stored_index(spark, tmp_path):
+    """A first job stores its index; a second opens it, adds later documents, and compacts."""
+    rows = [r for r in planted(5) if r[0] is not None]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first = FingerprintIndex(df, folder=str(tmp_path / "index"), buckets=3)
+    got = [extend(first, None, 60), extend(first, 60, 100)]
+    first.save()
+    first.close(keep=True)
+    later = FingerprintIndex.open(df, str(tmp_path / "index"))
+    assert later.buckets == 3 and len(later.anchors.runs) == 2
+    with pytest.raises(ValueError, match="up to 100"):
+        later.add(50, 200)
+    got += [extend(later, 100, 400), extend(later, 400, None)]
+    assert later.compactions >= 2 and later.highest == 510
+    plan = later.anchors.look_up(spark.range(5).withColumnRenamed("id", "h").groupBy("h").count())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Bucketed: true") == len(later.anchors.runs)
+    found = {}
+    for survey, edits in got:
+        lost = {(r._id, r._row): (r.n_removed, r.kept_sha) for r in edits.collect()}
+        for r in survey.collect():
+            found.setdefault(r._id, []).append((r._id, r.n_words, *lost.get((r._id, r._row), (0, r.sha))))
+    assert sorted((x for v in found.values() for x in v), key=str) == brute(rows)
+    later.close()
+
+
+def test_runs_are_read_in_place(spark):
+    """A join with a run neither exchanges nor sorts the run, and compaction gives what a plain aggregate gives."""
+    from weftlink.llm.substring_dedup import Runs, _sorted_scans
+    from weftlink.session import scratch
+
+    runs = Runs(spark, scratch(spark, "t"), "anchors", {"h": "bigint"}, 4, 2)
+    with _sorted_scans(spark):
+        for lo in (0, 500):
+            made = spark.range(lo, lo + 1000).selectExpr("id as h", "id * 2 as first", "id % 7 = 0 as shared", "cast(null as long) as old")
+            runs.append(made.groupBy("h", "first", "shared", "old").count())
+        asked = spark.range(0, 3000, 3).withColumnRenamed("id", "h").groupBy("h").count()
+        plan = runs.look_up(asked)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and plan.count("SortMergeJoin") == 2
+        want = {(k, k * 2, 500 <= k < 1000 or k % 7 == 0) for k in range(1500)}
+        runs.compact()
+    assert len(runs.runs) == 1
+    assert {(r.h, r.first, r.shared) for r in spark.table(list(runs.runs.values())[0]).collect()} == want

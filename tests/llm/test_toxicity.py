@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftlink.llm.textkernel import slices
 from weftlink.llm.toxicity import GRAMS, PASSAGE, _bucket, fit, fold, keep_clean, op2_toxicity, part_hashes, score, train
@@ -77,6 +78,8 @@ def test_frames(spark):
     assert clean.columns == docs.columns
     assert clean.count() == sum(r.predicted == 0 for r in rows)
     assert score(docs.limit(0), fitted).count() == 0
+    held = docs.select(F.coalesce(fold() == 0, F.lit(False)).alias("h")).where("h is null").count()
+    assert held == 0
     nobody = fit(docs, labels.limit(0))
     assert all(r.score < 1e-6 for r in score(docs, nobody).collect())
 

@@ -179,10 +179,9 @@ def fingerprint_column(rows: DataFrame, *, id_col: str, media_col: str = "audio"
 def search(library: DataFrame, queries: DataFrame, *, id_col: str, most_error: float = 0.3) -> DataFrame:
     """(query, match, offset, bit_error, overlap): pairs of a stated query set and the library that align.
 
-    Both are (id, codes). Recordings with equal codes are one first. A held tone repeats its code for many frames, so a run of equal
-    codes posts its ends alone, and a code that many recordings hold is met by blocks: distinct recordings and queries of a code are gathered
-    in a table of pairs without places, where `MIN_MATCHES` shared codes are counted by adaptive, pre-aggregated shuffles; the
-    pairs that remain are aligned on their whole codes. So every pair that shares that many ends of runs is found.
+    Both are (id, codes). Recordings with equal codes are one first. A held tone repeats its code for many frames, so a run of
+    equal codes posts its ends alone, and a recording posts a code once, whatever its places. Pairs of the query set and
+    the library that share `MIN_MATCHES` such codes, counted before anything else, or all of them, are aligned on their whole codes.
     """
     whole = lambda df: df.select(F.col(id_col).alias("id"), "codes").where(F.size("codes") > 0).withColumn("key", F.xxhash64("codes"))
     held, asked = cut(whole(library)), cut(whole(queries))
@@ -250,3 +249,20 @@ def op5_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _column(rows, schema, "_media", compute)
     kept = made.select("vec_id", F.size("codes").cast("long").alias("n_codes"), F.crc32(F.array_join(F.transform("codes", lambda c: F.lpad(F.hex(c), 8, "0")), "").cast("binary")).alias("codes_crc32"), "part", "codes")
     return align_columns(kept, "part", "codes")
+
+
+def chroma_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy excerpts of every fiftieth recording, searched in all recordings."""
+    rows = table(spark, sf_dir, "embeddings").where("vec_id is not null").select("vec_id", F.struct("vec_id", "embedding").alias("_media"))
+    schema = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("codes", T.ArrayType(T.IntegerType()))])
+
+    def made(part: bool):
+        def compute(row) -> tuple:
+            samples = recording(row["embedding"])
+            sound = excerpt(samples, HOP * (row["vec_id"] % 40), row["vec_id"]) if part else samples
+            return (fingerprint(write_wav(sound, 4096)).view(np.int32),)
+
+        return compute
+
+    library, queries = _column(rows, schema, "_media", made(False)), _column(rows.where("vec_id % 50 = 0"), schema, "_media", made(True))
+    return search(library, queries, id_col="vec_id")

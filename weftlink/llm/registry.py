@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .chroma import op5_chroma
+from .chroma import chroma_matches, op5_chroma
 from .gray_simhash import GROUPS_SQL, code_groups, op4_simhash
 from .html_wrapper import op10_html_extraction
 from .merge_dropout import DECODED_SQL, decoded_turns, op7_sentencepiece
@@ -24,6 +24,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_html_extraction": op10_html_extraction,
+    "chroma_matches": chroma_matches,
     # parts of the above that SQL can state
     "code_groups": code_groups,
     "url_rules": url_rules,
