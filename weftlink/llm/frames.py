@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -28,6 +31,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release_memory() -> None:
+    """Gives memory that is free, but still held by Arrow or the C library, back to the system; workers and drivers live long."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def project(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator needs; the text as a string."""
     return small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), *more)

@@ -152,10 +152,10 @@ class _Join:
             return [[_digest(s) for s in found], [s.view(np.int64) for s in found]]
 
         whole = append(self.texts.join(small(met.select("_of")), F.col(self.id_col) == F.col("_of"), "left_semi"), self.text_col, fields, members).select("_set", "_members")
-        whole = cut(whole.join(met, "_set", "left_semi").dropDuplicates(["_set"]))
-        side = lambda key, x: whole.select(F.col("_set").alias(key), F.col("_members").alias(x))
-        both = new.join(side("a", "x"), "a").join(side("b", "y"), "b")
-        good = cut(both.where(_enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), self.percent)).select("a", "b"))
+        # members travel once by set and once by pair; a text that stands under several ids gives the same members again
+        ends = new.select(F.explode(F.array("a", "b")).alias("_set"), "a", "b")
+        both = whole.dropDuplicates(["_set"]).join(ends, "_set").groupBy("a", "b").agg(F.min("_members").alias("x"), F.max("_members").alias("y"), F.count(F.lit(1)).alias("n"))
+        good = cut(both.where((F.col("n") == 2) & _enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), self.percent)).select("a", "b"))
         self.links = good if self.links is None else self.links.unionByName(good)
 
     def groups(self) -> DataFrame:
@@ -202,7 +202,7 @@ def similar_groups(documents: DataFrame, proposals=None, *, id_col: str = "doc_i
     drop_path(spark, paths.pop("outlines"))
     join = _Join(texts, sets, id_col, text_col, words, percent)
 
-    posts = sets.select("_set", "_n", F.posexplode("_prefix").alias("_at", "h"))
+    posts = sets.select("_set", F.explode("_prefix").alias("h"))
     heads = posts.groupBy("h").agg(F.min("_set").alias("head"), F.max("_set").alias("last")).where("head < last").select("h", "head")
     met = cut(posts.join(heads, "h"))
     posts = met.drop("head")
@@ -218,11 +218,9 @@ def similar_groups(documents: DataFrame, proposals=None, *, id_col: str = "doc_i
     heads = posts.groupBy("h").agg(F.min_by("_set", by).alias("head"), F.min_by("_group", by).alias("of"))
     join.verify(with_head(posts.join(heads, "h").where("_group <> of")))
 
-    posts = join.mixed(posts).join(sets.select("_set", "_sketch"), "_set")
-    other = posts.withColumnsRenamed({"_set": "b", "_n": "bn", "_at": "bt", "_group": "bg", "_sketch": "y"})
-    # sets that first meet at these places share no more than what follows; true pairs pass where they first meet
-    could = _enough(F.least(F.col("_n") - F.col("_at"), F.col("bn") - F.col("bt")), F.col("_n"), F.col("bn"), percent)
-    apart = (F.col("_set") < F.col("b")) & (F.col("_group") != F.col("bg")) & could
+    posts = join.mixed(posts).join(sets.select("_set", "_n", "_sketch"), "_set")
+    other = posts.withColumnsRenamed({"_set": "b", "_n": "bn", "_group": "bg", "_sketch": "y"})
+    apart = (F.col("_set") < F.col("b")) & (F.col("_group") != F.col("bg"))
     rest = posts.join(other, "h").where(apart & _near(F.col("_sketch"), F.col("y"), F.col("_n"), F.col("bn"), percent))
     join.verify(rest.select(F.col("_set").alias("a"), "b"), sketched=True)
 

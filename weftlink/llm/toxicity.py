@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import table
-from .frames import append, labelled_sample, project
+from .frames import append, labelled_sample, project, release_memory
 from .textkernel import INK, Slice, mix, slices
 
 PASSAGE = 8
@@ -134,8 +134,9 @@ def part_hashes(part: Slice, text: np.ndarray, starts: np.ndarray, ends: np.ndar
 
 
 def _bags(texts: list[str]):
-    """Distinct words as n-gram bags; then each passage's words, their passages, and the passages' documents."""
-    tokens, places, owners, words, bags = [], [], [], {}, []
+    """N-grams of the distinct words, and how many each has; then each passage's words, their passages, and the passages' documents."""
+    tokens, places, owners, flat, sizes = [], [], [], [], []
+    words: dict[int, int] = {}
     passages, doc = 0, 0
     for part in slices(pa.array(texts, pa.string()), 1 << 17):
         if len(part.starts):
@@ -143,25 +144,27 @@ def _bags(texts: list[str]):
             whole = part_hashes(part, text, starts, ends)
             grams = [(w.astype(np.int32), r) for _, r, w in _gram_rows(text, starts, ends)] + [(np.arange(len(starts), dtype=np.int32), _bucket(whole, 0))]
             owner, rows = np.concatenate([g[0] for g in grams]), np.concatenate([g[1] for g in grams])
-            order = np.argsort(owner, kind="stable")
-            rows, bounds = rows[order], np.searchsorted(owner[order], np.arange(len(starts) + 1))
             distinct, where, back = np.unique(whole, return_index=True, return_inverse=True)
-            number = np.empty(len(distinct), np.int64)
-            for k, (h, w) in enumerate(zip(distinct.tolist(), where.tolist())):
-                if h not in words:
-                    words[h] = len(bags)
-                    bags.append(rows[bounds[w] : bounds[w + 1]].copy())  # a view would keep the whole slice
-                number[k] = words[h]
+            known = np.array([words.get(h, -1) for h in distinct.tolist()], np.int64)
+            new = np.flatnonzero(known < 0)
+            known[new] = len(words) + np.arange(len(new))
+            words.update(zip(distinct[new].tolist(), known[new].tolist()))
+            place = np.full(len(starts), -1, np.int64)
+            place[where[new]] = np.arange(len(new))
+            use = np.flatnonzero(place[owner] >= 0)
+            use = use[np.argsort(place[owner[use]], kind="stable")]
+            flat.append(rows[use].astype(np.int32))
+            sizes.append(np.bincount(place[owner[use]], minlength=len(new)))
             of = _passage_of_words(part, _passages(part)[0])
             once = _first_of_each(of, whole)
-            tokens.append(number[back][once].astype(np.int32))
+            tokens.append(known[back][once].astype(np.int32))
             places.append((of[once] + passages).astype(np.int32))
         row = _passages(part)[1]
         owners.append(row + doc)
         passages += len(row)
         doc += part.n
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return bags, join(tokens), join(places), join(owners)
+    return join(flat), join(sizes), join(tokens), join(places), join(owners)
 
 
 def train(texts: list[str], toxic: np.ndarray, *, dim: int = 4, steps: int = 60, rate: float = 0.1, decay: float = 0.015, spread: float = 0.05, seed: int = 0) -> ToxicityModel:
@@ -169,9 +172,7 @@ def train(texts: list[str], toxic: np.ndarray, *, dim: int = 4, steps: int = 60,
     if not len(texts) or toxic.all() or not toxic.any():
         share = float(toxic.mean()) if len(texts) else 0.0
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
-    bags, tokens, place, owner = _bags(texts)
-    size = np.array([len(b) for b in bags])
-    flat = np.concatenate(bags)
+    flat, size, tokens, place, owner = _bags(texts)
     bags = len(size)
     hit = np.zeros(BUCKETS, bool)
     hit[flat] = True
@@ -233,7 +234,12 @@ def fit(documents: DataFrame, labels: DataFrame, *, learn: Column | None = None,
     # 2 * per_class ids at most: small enough to broadcast whatever the corpus
     rows = docs.join(F.broadcast(picked), docs[id_col] == F.col("_id")).select("_id", text_col, "_label").toPandas()
     rows = rows.sort_values(["_id", "_label", text_col], kind="stable")
-    return train([t or "" for t in rows[text_col]], rows["_label"].to_numpy() == 1, **options)
+    texts, toxic = [t or "" for t in rows[text_col]], rows["_label"].to_numpy() == 1
+    del rows
+    model = train(texts, toxic, **options)
+    del texts
+    release_memory()
+    return model
 
 
 def _scored(documents: DataFrame, model: ToxicityModel, text_col: str, cut: float, only_clean: bool) -> DataFrame:
