@@ -7,6 +7,7 @@ import json
 import uuid
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -43,12 +44,16 @@ class Storage:
         return sorted(found)
 
     def read(self, path: str) -> bytes:
+        """Raises OSError where the file is missing or fails its checksum."""
         system, at = self._open(path)
-        stream = system.open(at)
         try:
-            return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-        finally:
-            stream.close()
+            stream = system.open(at)
+            try:
+                return bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            finally:
+                stream.close()
+        except Py4JJavaError as wrong:
+            raise OSError(f"cannot read {path}: {wrong.java_exception.getMessage()}") from wrong
 
     def write(self, path: str, data: bytes) -> None:
         """Writes beside the path and moves there, so that readers see the old file, none, or the new one whole."""
@@ -82,10 +87,16 @@ class Storage:
         system.delete(at, True)
 
     def content_id(self, path: str) -> str:
-        """Hash of names and bytes below a path, wherever it lies; for artifacts of bounded size (models, policies)."""
+        """Hash of names and bytes below a path, wherever it lies; for artifacts of bounded size (models, policies).
+
+        A file that fails its checksum gives an id that no whole folder has.
+        """
         found = hashlib.blake2b(digest_size=16)
         folder = self.is_folder(path)
         for name, size, _ in self.listing(path):
             found.update(f"{name if folder else ''}\x00{size}\x00".encode())
-            found.update(self.read(f"{path}/{name}" if folder else path))
+            try:
+                found.update(self.read(f"{path}/{name}" if folder else path))
+            except OSError:
+                return f"damaged {name}"
         return found.hexdigest()
