@@ -8,7 +8,7 @@ import gc
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -39,6 +39,15 @@ def release_memory() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has the driver collect its garbage, upon which Spark deletes the shuffle files that nothing refers to any more.
+
+    Between the phases of a long operator: left to chance, the files of all phases stand on disk together.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def project(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns an operator needs; the text as a string."""
     return small_batches(df).select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), *more)

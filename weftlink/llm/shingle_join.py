@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..session import cut, drop_path, scratch
-from .frames import append, project, small
+from .frames import append, project, small, sweep
 from .textkernel import Slice, mix, slices
 
 _BASE = 0xC2B2AE3D27D4EB4F
@@ -157,6 +157,7 @@ class _Join:
         both = whole.dropDuplicates(["_set"]).join(ends, "_set").groupBy("a", "b").agg(F.min("_members").alias("x"), F.max("_members").alias("y"), F.count(F.lit(1)).alias("n"))
         good = cut(both.where((F.col("n") == 2) & _enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"), self.percent)).select("a", "b"))
         self.links = good if self.links is None else self.links.unionByName(good)
+        sweep(self.texts.sparkSession)
 
     def groups(self) -> DataFrame:
         """(_set, _group) of the sets that have a link."""
@@ -202,9 +203,10 @@ def similar_groups(documents: DataFrame, proposals=None, *, id_col: str = "doc_i
     drop_path(spark, paths.pop("outlines"))
     join = _Join(texts, sets, id_col, text_col, words, percent)
 
-    posts = sets.select("_set", F.explode("_prefix").alias("h"))
+    posts = sets.select("_set", F.posexplode("_prefix").alias("_at", "h"))
     heads = posts.groupBy("h").agg(F.min("_set").alias("head"), F.max("_set").alias("last")).where("head < last").select("h", "head")
     met = cut(posts.join(heads, "h"))
+    sweep(spark)
     posts = met.drop("head")
     with_head = lambda met: met.where("_set <> head").select(F.least("_set", "head").alias("a"), F.greatest("_set", "head").alias("b"))
     first = with_head(met)
@@ -219,8 +221,10 @@ def similar_groups(documents: DataFrame, proposals=None, *, id_col: str = "doc_i
     join.verify(with_head(posts.join(heads, "h").where("_group <> of")))
 
     posts = join.mixed(posts).join(sets.select("_set", "_n", "_sketch"), "_set")
-    other = posts.withColumnsRenamed({"_set": "b", "_n": "bn", "_group": "bg", "_sketch": "y"})
-    apart = (F.col("_set") < F.col("b")) & (F.col("_group") != F.col("bg"))
+    other = posts.withColumnsRenamed({"_set": "b", "_n": "bn", "_at": "bt", "_group": "bg", "_sketch": "y"})
+    # sets that first meet at these places share no more than what follows; true pairs pass where they first meet
+    could = _enough(F.least(F.col("_n") - F.col("_at"), F.col("bn") - F.col("bt")), F.col("_n"), F.col("bn"), percent)
+    apart = (F.col("_set") < F.col("b")) & (F.col("_group") != F.col("bg")) & could
     rest = posts.join(other, "h").where(apart & _near(F.col("_sketch"), F.col("y"), F.col("_n"), F.col("bn"), percent))
     join.verify(rest.select(F.col("_set").alias("a"), "b"), sketched=True)
 
