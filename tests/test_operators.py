@@ -380,3 +380,31 @@ def test_blocking(spark):
     assert (row.retrieved, row.pairs, row.mismatched) == (False, 1, 1)
     once = blocking.distinct_texts(q.union(q), "text", lambda d: d.withColumn("n", F.length("text")))
     assert [r.n for r in once.collect()] == [3, 3]
+
+
+def test_blocks_meet_without_a_shuffle(spark, monkeypatch):
+    """Searches read stored blocks again instead of dealing each row once for each block it meets; what is stored is less than the texts."""
+    import weftlink.operators.retrieval as R
+    from weftlink.operators.blocks import from_bytes, meet
+
+    monkeypatch.setattr(R, "SPARSE_BLOCK", (8, 16))
+    monkeypatch.setattr(R, "DENSE_BLOCK", (8, 16))
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(40)]
+    texts = [" ".join(rng.choice(words, 200)) for _ in range(60)]
+    t = spark.createDataFrame([(f"t{k:02d}", 2 + k % 2, x) for k, x in enumerate(texts)], "tid string, source int, lexical string").repartition(3)
+    q = spark.createDataFrame([(f"q{k:02d}", x) for k, x in enumerate(texts[:20])], "qid string, lexical string")
+    sides = lexical_weights(q, t)
+    for side, key, n in zip(sides, ("qid", "tid"), (20, 60)):
+        blocks = side.blocks.collect()
+        ids = [i for b in blocks for i in from_bytes(bytes(b.data))[key].to_pylist()]
+        assert len(ids) == len(set(ids)) == n and sum(len(b.data) for b in blocks) < sum(map(len, texts[:n]))
+        assert all(b.n <= 16 and {b.source} == set(from_bytes(bytes(b.data))["source"].to_pylist()) for b in blocks)
+    names = spark.createDataFrame([(f"t{k:02d}", 2, x.split()) for k, x in enumerate(texts)], "tid string, source int, tokens array<string>")
+    dense = spark.createDataFrame([(f"t{k:02d}", 2, [float(x) for x in v]) for k, v in enumerate(unit(rng, 60))], "tid string, source int, embedding array<float>")
+    searches = [sparse_topk(*sides, 3), blocking.token_blocking(names.select(F.col("tid").alias("qid"), "tokens"), names, 3), dense_topk(dense.select(F.col("tid").alias("qid"), "embedding"), dense, 3)]
+    for found in searches:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "CoGroup" not in plan
+    assert all(r.tid == "t" + r.qid[1:] for r in searches[0].collect() if r.tfidf_rank == 1 and r.source == 2 + int(r.qid[1:]) % 2)
+    assert meet(sides[0].blocks, sides[1].blocks, lambda q, t, source: None, R.found_schema(sides[0].key, sides[1].key, "s"), 3, "s").count() == 0
