@@ -5,6 +5,7 @@ import unicodedata
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -408,3 +409,25 @@ def test_blocks_meet_without_a_shuffle(spark, monkeypatch):
         assert "CartesianProduct" in plan and "CoGroup" not in plan
     assert all(r.tid == "t" + r.qid[1:] for r in searches[0].collect() if r.tfidf_rank == 1 and r.source == 2 + int(r.qid[1:]) % 2)
     assert meet(sides[0].blocks, sides[1].blocks, lambda q, t, source: None, R.found_schema(sides[0].key, sides[1].key, "s"), 3, "s").count() == 0
+
+
+def test_what_leaves_a_meet_follows_the_queries(spark):
+    """With many blocks of targets, k rows of a query leave a bounded number of tasks, and the best are among them."""
+    from weftlink.operators.blocks import from_bytes, meet, pack
+    from weftlink.operators.retrieval import found_schema
+
+    q = spark.createDataFrame([(k, 0) for k in range(32)], "qid long, source int").repartition(8)
+    t = spark.createDataFrame([(k, 2) for k in range(480)], "tid long, source int").repartition(48)
+
+    def search(q, t, source):
+        ids, met = (from_bytes(x[1])[c].to_numpy() for x, c in ((q, "qid"), (t, "tid")))
+        a, b = np.repeat(ids, len(met)), np.tile(met, len(ids))
+        return {"qid": pa.array(a), "tid": pa.array(b), "source": pa.array(np.full(len(a), source)), "s": pa.array((a * 31 + b * 17) % 97.0)}
+
+    held = pack(t, "tid", 5)
+    assert held.count() >= 96  # blocks
+    found = [tuple(r) for r in meet(pack(q, "qid", 4), held, search, found_schema(q, t, "s"), 3, "s").select("qid", "s", "tid").collect()]
+    assert len(found) <= 32 * 3 * 4
+    for k in range(32):
+        want = sorted((-float((k * 31 + b * 17) % 97), b) for b in range(480))[:3]
+        assert sorted((-s, b) for a, s, b in found if a == k)[:3] == want
