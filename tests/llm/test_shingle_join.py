@@ -71,3 +71,26 @@ def test_stage_takes_80_percent_of_five_words(spark):
     label = brute_groups(texts)
     got = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert got == {i for i in texts if label[i] == i}
+
+
+def test_posts_are_shuffled_once(spark, monkeypatch):
+    """Heads and the posts they meet, and both sides of the last join, come from one shuffle each: reading it twice is no more disk."""
+    import weftlink.llm.shingle_join as J
+
+    plans, cut = [], J.cut
+
+    def noted(df):
+        found = cut(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(J, "cut", noted)
+    # most pairs share single words and stay in two groups up to the last join
+    rng = random.Random(3)
+    texts = [" ".join(f"w{n}" for n in rng.sample(range(60), 30)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = dict(J.similar_groups(df, words=1, percent=60).collect())
+    assert len(found) == 40
+    heads, rest = [p for p in plans if "posexplode" in p], [p for p in plans if "bit_count" in p and "bt#" in p]
+    assert len(heads) == len(rest) == 1
+    assert ["ReusedExchange" in p.split("Initial Plan")[0] for p in heads + rest] == [True, True], rest

@@ -201,10 +201,13 @@ def similar_groups(documents: DataFrame, proposals=None, *, id_col: str = "doc_i
     sets = stored(rows.groupBy("_set").agg(F.min(id_col).alias("_first"), *[F.any_value(c).alias(c) for c in ("_n", "_bits", "_prefix", "_sketch")]), "sets")
     owners = cut(rows.select(id_col, "_set"))
     drop_path(spark, paths.pop("outlines"))
+    sweep(spark)
     join = _Join(texts, sets, id_col, text_col, words, percent)
 
-    posts = sets.select("_set", F.posexplode("_prefix").alias("_at", "h"))
-    heads = posts.groupBy("h").agg(F.min("_set").alias("head"), F.max("_set").alias("last")).where("head < last").select("h", "head")
+    # shuffled once by shingle; the heads and the posts that they meet are both read from there
+    posts = sets.select("_set", F.posexplode("_prefix").alias("_at", "h")).repartition("h")
+    heads = posts.groupBy("h").agg(F.min("_set").alias("head"), F.max("_set").alias("last"), F.min("_at").alias("least"))
+    heads = heads.where("head < last and least >= 0").select("h", "head")  # every place is; but without it the heads would be read from a shuffle of their own
     met = cut(posts.join(heads, "h"))
     sweep(spark)
     posts = met.drop("head")
@@ -215,12 +218,13 @@ def similar_groups(documents: DataFrame, proposals=None, *, id_col: str = "doc_i
         first = first.unionByName(found.where("node <> root").select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")))
     join.verify(first)
 
-    posts = join.mixed(posts)
+    posts, met, first = join.mixed(posts), None, None
     by = F.xxhash64("h", "_set")
     heads = posts.groupBy("h").agg(F.min_by("_set", by).alias("head"), F.min_by("_group", by).alias("of"))
     join.verify(with_head(posts.join(heads, "h").where("_group <> of")))
 
-    posts = join.mixed(posts).join(sets.select("_set", "_n", "_sketch"), "_set")
+    # sketches make the widest shuffle: both sides are read from one
+    posts = join.mixed(posts).join(sets.select("_set", "_n", "_sketch"), "_set").repartition("h")
     other = posts.withColumnsRenamed({"_set": "b", "_n": "bn", "_at": "bt", "_group": "bg", "_sketch": "y"})
     # sets that first meet at these places share no more than what follows; true pairs pass where they first meet
     could = _enough(F.least(F.col("_n") - F.col("_at"), F.col("bn") - F.col("bt")), F.col("_n"), F.col("bn"), percent)
