@@ -431,3 +431,50 @@ def test_what_leaves_a_meet_follows_the_queries(spark):
     for k in range(32):
         want = sorted((-float((k * 31 + b * 17) % 97), b) for b in range(480))[:3]
         assert sorted((-s, b) for a, s, b in found if a == k)[:3] == want
+
+
+@pytest.mark.parametrize("narrow", [False, True])
+def test_few_pairs_are_summed_in_full(monkeypatch, narrow):
+    """Bounds leave few pairs of a search to be summed in full, and the k best of each query are exact however wide the matrices are."""
+    from weftlink.operators import bounds
+
+    if narrow:  # most grams share columns, and a query meets several tiles
+        monkeypatch.setattr(bounds, "EXACT", 20)
+        monkeypatch.setattr(bounds, "FOLDED", 30)
+        monkeypatch.setattr(bounds, "ROWS", 50)
+    rng = np.random.default_rng(3)
+    n, summed, plain = (200, 900), [], bounds.row_sums
+    monkeypatch.setattr(bounds, "row_sums", lambda *x: summed.append(len(x[3])) or plain(*x))
+    dense = []
+    for count in n:
+        kind = np.arange(count) % 2  # two languages without a common gram but one
+        x = (rng.random((count, 400)) < 0.3) * rng.random((count, 400)) * np.where((np.arange(400) < 200) == (kind == 0)[:, None], 1, 0) + np.eye(400)[399] * 0.05
+        x[: count // 9] *= rng.random((count // 9, 400)) < 0.05  # short texts, some of them empty
+        dense.append(x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9))
+    dense[1][50:60] = dense[1][49]  # ties
+    entries = lambda x: (*np.nonzero(x), x[np.nonzero(x)], np.arange(400) * 3)
+    own, found = bounds.Asked(entries(dense[0]), n[0], 5), []
+    for lo in range(0, n[1], 300):
+        row, place, score = own.meet(entries(dense[1][lo : lo + 300]), 300)
+        found += zip(row.tolist(), (-score).tolist(), (place + lo).tolist())
+    scores = np.round(dense[0] @ dense[1].T, 6)
+    for i in range(n[0]):
+        want = sorted((-s, j) for j, s in enumerate(scores[i].tolist()) if s > 0)[:5]
+        assert [j for _, j in want] == [j for r, _, j in sorted(found) if r == i][:5]
+    assert sum(summed) < (0.5 if narrow else 0.15) * n[0] * n[1]
+
+
+def test_dense_bounds_lose_no_pair():
+    from weftlink.operators import bounds
+
+    rng = np.random.default_rng(4)
+    q, t = unit(rng, 120).astype(float), unit(rng, 700).astype(float)
+    t[20:30] = t[19]
+    own, found = bounds.Vectors(q, 6), []
+    for lo in range(0, 700, 256):
+        row, place, score = own.meet(t[lo : lo + 256])
+        found += zip(row.tolist(), (-score).tolist(), (place + lo).tolist())
+    scores = np.round(q @ t.T, 6)
+    for i in range(120):
+        assert [j for r, _, j in sorted(found) if r == i][:6] == [j for _, j in sorted((-s, j) for j, s in enumerate(scores[i].tolist()))[:6]]
+    assert len(found) < 0.2 * 120 * 700
